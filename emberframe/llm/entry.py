@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, sharding
+from . import exact_dedup, quality, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_trees": quality.op1_quality_trees,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
+    "op10_toxic_lexicon": toxicity.op10_toxic_lexicon,
 }
 
 ORACLE_SQL: dict[str, str] = {"op5_tree_merge": exact_dedup.SQL}
