@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, html_text, mixing, quality, sharding, simhash, toxicity
+from . import cdc, exact_dedup, html_text, mixing, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": quality.op1_quality_trees,
     "op2_virtual_slots": sharding.op2_virtual_slots,
     "op4_simhash_pivots": simhash.op4_simhash_pivots,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
+    "op7_cdc_spans": cdc.op7_cdc_spans,
     "op8_html_template": html_text.op8_html_template,
     "op9_cube_mix": mixing.op9_cube_mix,
     "op10_toxic_lexicon": toxicity.op10_toxic_lexicon,
