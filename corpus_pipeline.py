@@ -4,25 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import exact_dedup
-from emberframe.llm.common import stage
+from emberframe.llm import exact_dedup, mixing, pieces, simhash, toxicity
+from emberframe.llm.common import stage, table
+
+#: Near duplicates: shingles of this many words.
+SHINGLE = 5
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity lexicon doesn't reject."""
+    return toxicity.drop_toxic(spark, docs, table(spark, sf_dir, "labels"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts stays: that with the smallest doc_id."""
+    """One document of each group of equal texts: that with the smallest doc_id."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: that with the smallest doc_id."""
+    return simhash.keep_one(docs, SHINGLE)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: twice, once or not at all."""
+    return mixing.take(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each document taken, with its pieces and sampled segmentations."""
+    return pieces.encode(docs)
+
+
+STAGES = [("toxicity", clean), ("exact dedup", exact), ("near dedup", near), ("mixing", mix), ("pieces", encode)]
 
 #: Learned weights, balanced sampling and lattice sampling have no SQL form.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for k, (name, f) in enumerate(STAGES):
         docs = f(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stage(docs, name.replace(" ", "-"))
+            docs = stage(docs, f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, exact_dedup, html_text, mixing, pii, quality, sharding, simhash, toxicity
+from . import cdc, exact_dedup, html_text, mixing, pieces, pii, quality, sharding, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_trees": quality.op1_quality_trees,
     "op2_virtual_slots": sharding.op2_virtual_slots,
+    "op3_piece_sampling": pieces.op3_piece_sampling,
     "op4_simhash_pivots": simhash.op4_simhash_pivots,
     "op5_tree_merge": exact_dedup.op5_tree_merge,
     "op6_pii_field": pii.op6_pii_field,

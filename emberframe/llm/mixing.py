@@ -24,7 +24,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, stage, table
@@ -182,7 +182,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def mix(docs: DataFrame, uid: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies, uid; one row for each row of docs.
+    """doc_id, source, size, source_size, target, taken, copies, uid; one row for each row of docs.
 
     A row's number (uid) is fixed by staging doc_id, source and size first."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("uid") if uid is None else F.col(uid).alias("uid"), "doc_id", "source", sizes_of().alias("size")), "mix-sizes")
@@ -195,13 +195,32 @@ def mix(docs: DataFrame, uid: str | None = None) -> DataFrame:
     by_source = spark.createDataFrame(plan, "g int, source string, source_size long, target double, ratio double")
     per = F.broadcast(by_source) if len(plan) <= 100_000 else by_source
     keyed = stage(rows.join(per.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).select(
-        "uid", "doc_id", "g", "size", "source_size", "target", F.floor(F.col("ratio") + EPS).cast("int").alias("whole"),
+        "uid", "doc_id", "source", "g", "size", "source_size", "target", F.floor(F.col("ratio") + EPS).cast("int").alias("whole"),
         F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("p")), "mix-rows")
     chosen = cube(keyed)
     return keyed.drop("p").join(chosen.select("uid", (F.col("p") > 0.5).cast("int").alias("more")), "uid").select(
-        "doc_id", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"),
+        "doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"),
         (F.col("whole") + F.col("more")).alias("copies"), "uid")
 
 
+def take(docs: DataFrame) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with docs' columns. Documents of one doc_id (null is one) share
+    what is taken of them in turn: which of them it is doesn't change what the source gets only if they're equal, so
+    rows are told apart by size too."""
+    key = ["__id", "__size", "__source"]
+    name = lambda d, size: d.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__size": size, "__source": F.coalesce("source", F.lit("\0"))})
+    found = stage(mix(docs), "mix")
+    order = F.row_number().over(Window.partitionBy(*key).orderBy("uid"))
+    alone = name(found, F.col("size")).groupBy(*key).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    rows = name(docs, sizes_of())
+    once = rows.join(alone.where("n = 1").select(*key, "copies"), key)
+    # Repeated rows, if any: numbered on both sides.
+    many = alone.where("n > 1").select(*key)
+    left = rows.join(many, key, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
+    right = name(found, F.col("size")).join(many, key, "left_semi").withColumn("__k", order).select(*key, "__k", "copies")
+    taken = once.unionByName(left.join(right, [*key, "__k"]).drop("__k"))
+    return taken.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("uid")
+    return mix(table(spark, sf_dir, "documents")).drop("uid", "source")
