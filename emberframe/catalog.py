@@ -1,10 +1,6 @@
 """Registered queries of the engine and their SQL."""
 
-from __future__ import annotations
+from .plans.oracle import ORACLE_SQL
+from .plans.survey import QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
