@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BOUNDS = ((0.5, 3.0), (-45.0, 45.0), (-0.1, 0.1))
@@ -28,6 +28,14 @@ def iou(burned_by_sim: DataFrame, truth: DataFrame) -> DataFrame:
     return both.crossJoin(F.broadcast(n)).select("sim_id", F.when(union > 0, F.col("i") / union).otherwise(0.0).alias("iou"))
 
 
+def iou_of_truth(burned_by_sim: DataFrame, truth_sim: int) -> DataFrame:
+    """As iou(), for a truth that is one of the scenarios: a window by cell sets it beside the others, so they're simulated and shuffled once."""
+    t = F.max(F.when(F.col("sim_id") == truth_sim, F.col("burned"))).over(Window.partitionBy("r", "c"))
+    both = burned_by_sim.select("sim_id", "burned", F.coalesce(t, F.lit(False)).alias("t")).where(F.col("sim_id") != truth_sim)
+    sums = both.groupBy("sim_id").agg(F.count_if(F.col("burned") & F.col("t")).alias("i"), F.count_if(F.col("burned") | F.col("t")).alias("u"))
+    return sums.select("sim_id", F.when(F.col("u") > 0, F.col("i") / F.col("u")).otherwise(0.0).alias("iou"))
+
+
 def top(scores: DataFrame, k: int = 50, key: str = "sim_id") -> DataFrame:
     """The k best, of equal scores the earliest evaluation first."""
     return scores.orderBy(F.desc("iou"), key).limit(k)

@@ -57,7 +57,7 @@ def spread(sims: str) -> str:
     return f"""WITH RECURSIVE {FUEL}, {OFFSET}, {LAND}, {SCENARIO},
 base AS (SELECT w.sim_id, l.r, l.c, l.elevation, l.fuel_idx, w.u, w.v, least(greatest(l.moisture + w.moisture_offset, 0.01::DOUBLE), 0.30::DOUBLE) AS moisture
          FROM land l CROSS JOIN wind w WHERE l.r < {SIDE} AND l.c < {SIDE} AND w.sim_id IN ({sims})),
-{PHYSICS}, {edges(1.0, True)},
+{PHYSICS}, {edges(0.1, True)},
 step_edge AS MATERIALIZED (SELECT sim_id, r, c, d, sr, sc, CAST(p AS DOUBLE) AS p FROM edge UNION ALL SELECT sim_id, r, c, -1, r, c, 0 FROM base),
 mid AS (SELECT least(max(nr), {SIDE}) // 2 AS r FROM land),
 run AS (SELECT 0 AS t, sim_id, r, c, CASE WHEN abs(r - (SELECT r FROM mid)) <= 1 AND abs(c - {SIDE // 2}) <= 1 THEN -1 END AS k FROM base

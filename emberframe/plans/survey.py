@@ -65,9 +65,9 @@ def window_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ros(spark: SparkSession, sf_dir: str, scenarios: DataFrame) -> DataFrame:
-    """sim_id, r, c, seed, p0 .. p7 (with dt ten times the default, so that fire crosses the window in STEPS steps)."""
+    """sim_id, r, c, seed, p0 .. p7."""
     base = landscape.shifted(window_cells(spark, sf_dir), "elevation")
-    found = spread.directional(spread.scenarios(base, scenarios, CONFIG), fuels(spark), Config(dt=1.0))
+    found = spread.directional(spread.scenarios(base, scenarios, CONFIG), fuels(spark), CONFIG)
     mid = F.floor(F.col("rows") / 2)
     return found.withColumn("seed", (F.abs(F.col("r") - mid) <= 1) & (F.abs(F.col("c") - SIDE // 2) <= 1))
 
@@ -154,8 +154,13 @@ def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.frames(arrival(spark, sf_dir, blind_params(spark)), range(STEPS), CONFIG.burn_steps).select("step", "r", "c", F.col("state").cast("int").alias("state"))
 
 
+def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Burned cells of all scenarios and, as sim_id -1, of the observed one: one simulation job for all."""
+    return assimilation.burned(arrival(spark, sf_dir, params(spark, sf_dir).unionByName(truth_params(spark))), STEPS)
+
+
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assimilation.iou(assimilation.burned(arrival(spark, sf_dir, params(spark, sf_dir)), STEPS), truth(spark, sf_dir))
+    return assimilation.iou_of_truth(hits(spark, sf_dir), -1)
 
 
 def iou_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,8 +178,8 @@ def ensemble_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = assimilation.burned(arrival(spark, sf_dir, params(spark, sf_dir)), STEPS)
-    return assimilation.confidence(hits, assimilation.top(assimilation.iou(hits, truth(spark, sf_dir)), TOP))
+    burned = hits(spark, sf_dir).select("sim_id", "r", "c", "burned").cache()  # ranked, then summed up
+    return assimilation.confidence(burned.where("sim_id >= 0"), assimilation.top(assimilation.iou_of_truth(burned, -1), TOP))
 
 
 def confidence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
