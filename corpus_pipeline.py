@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberframe.llm import exact_dedup, mixing, pieces, simhash, toxicity
+from emberframe.llm import exact_dedup, mixing, pieces, similar, toxicity
 from emberframe.llm.common import stage, table
 
-#: Near duplicates: shingles of this many words.
+#: Near duplicates: shingles of this many words; a similarity of similar.SIMILAR or more.
 SHINGLE = 5
 
 
@@ -23,7 +23,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: that with the smallest doc_id."""
-    return simhash.keep_one(docs, SHINGLE)
+    return similar.keep_one(docs, SHINGLE)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,7 +92,8 @@ def chunks(docs: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
     """One row for each span of a text whose chunks all occur in other documents too: doc_id, start, stop (bytes of the text in UTF-8),
-    n_words, n_chunks, n_first (chunks of it that stay here), keep_id (the smallest doc_id with a chunk of it)."""
+    n_words, n_chunks, n_first (chunks of it that stay here), keep_id (the document in which most
+    of its chunks stay)."""
     rows = chunks(docs)
     key = ["d1", "d2"]
     groups = stage(rows.groupBy(*key).agg(
@@ -106,7 +107,7 @@ def repeated_spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
     spans = twice.withColumn("opens", opens).withColumn("span", F.sum("opens").over(order))
     return spans.groupBy("uid", "span").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
-        F.count("*").alias("n_chunks"), F.count_if("stays").alias("n_first"), F.min("first_id").alias("keep_id")).where(F.col("n_words") >= span_words).select(
+        F.count("*").alias("n_chunks"), F.count_if("stays").alias("n_first"), F.mode("first_id", True).alias("keep_id")).where(F.col("n_words") >= span_words).select(
         "doc_id", "start", "stop", "n_words", "n_chunks", "n_first", "keep_id")
 
 

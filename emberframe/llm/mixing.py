@@ -209,17 +209,17 @@ def take(docs: DataFrame) -> DataFrame:
     rows are told apart by size too."""
     key = ["__id", "__size", "__source"]
     name = lambda d, size: d.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__size": size, "__source": F.coalesce("source", F.lit("\0"))})
-    found = stage(mix(docs), "mix")
+    found = name(stage(mix(docs), "mix"), F.col("size")).select(*key, "uid", F.col("copies").alias("__copies"))
     order = F.row_number().over(Window.partitionBy(*key).orderBy("uid"))
-    alone = name(found, F.col("size")).groupBy(*key).agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    alone = found.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("__copies").cast("int").alias("__copies"))
     rows = name(docs, sizes_of())
-    once = rows.join(alone.where("n = 1").select(*key, "copies"), key)
+    once = rows.join(alone.where("__n = 1").select(*key, "__copies"), key)
     # Repeated rows, if any: numbered on both sides.
-    many = alone.where("n > 1").select(*key)
+    many = alone.where("__n > 1").select(*key)
     left = rows.join(many, key, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    right = name(found, F.col("size")).join(many, key, "left_semi").withColumn("__k", order).select(*key, "__k", "copies")
+    right = found.join(many, key, "left_semi").withColumn("__k", order).select(*key, "__k", "__copies")
     taken = once.unionByName(left.join(right, [*key, "__k"]).drop("__k"))
-    return taken.where("copies > 0").withColumn("copies", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return taken.where("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

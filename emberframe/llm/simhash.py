@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import HOT, attach, one_row_each, small_batches, stage, table
+from .common import HOT, attach, small_batches, stage, table
 from .graph import components
 
 SEED, REACH = 42, 2
@@ -73,10 +73,10 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     return stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp long"), "fingerprints")
 
 
-def links_in(fp: np.ndarray, table_: np.ndarray, reach: int = REACH) -> tuple[np.ndarray, np.ndarray]:
+def links_in(fp: np.ndarray, table_: np.ndarray, reach: int = REACH, words: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Of one block: (fingerprint, the smallest index it's linked with, over any number of links), links only.
 
-    Pairs start as those near in the first coordinate, in order of it; each further coordinate discards more."""
+    fp may have rows of several words, the first `words` of which are compared. Pairs start as those near in the first coordinate, in order of it; each further coordinate discards more."""
     order = np.argsort(table_[:, 0], kind="stable")
     d, x = table_[order].astype(np.int16), fp[order]
     last = np.searchsorted(d[:, 0], d[:, 0] + reach, side="right")
@@ -86,7 +86,10 @@ def links_in(fp: np.ndarray, table_: np.ndarray, reach: int = REACH) -> tuple[np
     for k in range(1, d.shape[1]):
         near = np.abs(d[i, k] - d[j, k]) <= reach
         i, j = i[near], j[near]
-    true = np.bitwise_count(x[i] ^ x[j]) <= reach
+    if x.ndim == 1:
+        true = np.bitwise_count(x[i] ^ x[j]) <= reach
+    else:  # wide fingerprints, a part of the pairs at a time
+        true = np.concatenate([np.empty(0, bool), *[np.bitwise_count(x[i[k:k + 200_000], :words] ^ x[j[k:k + 200_000], :words]).sum(1, dtype=np.int64) <= reach for k in range(0, len(i), 200_000)]])
     i, j = i[true], j[true]
     root = np.arange(len(x))
     while len(i):
@@ -191,15 +194,3 @@ def hex_of(fp: str = "fp") -> Column:
 def op4_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", hex_of().alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:
-    """One row of docs for each component, that with the smallest doc_id, with docs' columns.
-
-    Rows without a doc_id are kept: nothing says which of them is first."""
-    found = stage(near_dedup(docs, width), "near-dedup")
-    best = found.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n"))
-    stay = best.select(F.col("component_id").alias("doc_id"))
-    kept = docs.join(stay.distinct(), "doc_id", "left_semi")
-    twice = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    return one_row_each(kept, ["doc_id"], twice).unionByName(docs.where("doc_id IS NULL"))
