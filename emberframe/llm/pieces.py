@@ -28,6 +28,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain, islice
 from math import inf, log
 
 import ahocorasick
@@ -84,8 +85,7 @@ class Vocabulary:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a whole sequence; the space put before it is taken off."""
-        raw = self.raw
-        return b"".join([raw[i] for i in ids]).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
 class Grow:
@@ -96,7 +96,9 @@ class Grow:
 
     def add(self, x: np.ndarray) -> None:
         if self.n + len(x) > len(self.all):
-            self.all = np.resize(self.all, max(2 * len(self.all), self.n + len(x)))
+            more = np.empty(max(2 * len(self.all), self.n + len(x)), self.all.dtype)
+            more[:self.n] = self.all[:self.n]
+            self.all = more
         self.all[self.n:self.n + len(x)] = x
         self.n += len(x)
 
@@ -109,8 +111,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def uniform(seed: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """In (0, 1), from a stream's seed and a place in it."""
-    x = mix(seed + mix(place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019)))
+    """In (0, 1): SplitMix64, from a stream's (mixed) seed and a place in it."""
+    x = mix(seed + (place.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
     return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -133,17 +135,12 @@ class Lattice:
         """Unit numbers of each text, with the space that goes before it; new units are built together."""
         if len(self.index) > MOST_UNITS:
             self.clear()
-        new: list[str] = []
-        index, out, known = self.index, [], len(self.index)
+        put, known, out = self.index.setdefault, len(self.index), []
         for t in texts:
             found = UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
-            for u in found:
-                if u not in index:
-                    index[u] = known + len(new)
-                    new.append(u)
-            out.append(np.array([index[u] for u in found], np.int64))
-        if new:
-            self.build(new)
+            out.append(np.array([put(u, len(self.index)) for u in found], np.int64))
+        if len(self.index) > known:
+            self.build(list(islice(self.index, known, None)))
         return out
 
     def build(self, new: list[str]) -> None:
@@ -154,9 +151,9 @@ class Lattice:
         start, n = self.first.n, len(text)
         stops = np.cumsum(size) - 1
         left = np.repeat(stops, size) - np.arange(n)  # of each node, characters to the end of its unit
-        hits = np.fromiter((last << 16 | i for last, i in v.automaton.iter(text)), np.int64)
-        piece = hits & 0xFFFF
-        src = (hits >> 16) + 1 - v.length[piece]
+        hits = np.fromiter(chain.from_iterable(v.automaton.iter(text)), np.int64).reshape(-1, 2)
+        piece = hits[:, 1]
+        src = hits[:, 0] + 1 - v.length[piece]
         single = np.zeros(n, bool)
         single[src[v.length[piece] == 1]] = True
         several = {}
@@ -166,7 +163,7 @@ class Lattice:
             w = np.concatenate([v.weight[piece], [sum(v.logp[i] for i in o) for o in own]])
             several = {len(piece) + k: o for k, o in enumerate(own) if len(o) > 1}
             piece = np.concatenate([piece, [o[0] for o in own]])
-            src, length = np.concatenate([src, extra]), np.concatenate([v.length[hits & 0xFFFF], np.ones(len(extra), np.int64)])
+            src, length = np.concatenate([src, extra]), np.concatenate([v.length[hits[:, 1]], np.ones(len(extra), np.int64)])
         else:
             w, length = v.weight[piece], v.length[piece]
         order = np.argsort(left[src] * ((n + 1) * 32) + src * 32 + 31 - length)  # ends of units first, then by node and length
