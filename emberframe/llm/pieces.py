@@ -35,7 +35,6 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
@@ -47,7 +46,7 @@ LITERAL = "\ud800"
 #: Ends a unit where units are joined. Neither is in any valid text.
 STOP = "\ud801"
 #: Units that a worker remembers, and characters of the texts that are drawn together (one text at least).
-MOST_UNITS, MOST_CHARS = 150_000, 1_000_000
+MOST_UNITS, MOST_CHARS = 220_000, 1_000_000
 UNIT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -135,12 +134,13 @@ class Lattice:
         """Unit numbers of each text, with the space that goes before it; new units are built together."""
         if len(self.index) > MOST_UNITS:
             self.clear()
-        put, known, out = self.index.setdefault, len(self.index), []
+        index, out = self.index, []
+        put, known = index.setdefault, len(index)
         for t in texts:
             found = UNIT.findall(SPACE + t.replace(SPACE, LITERAL).replace(" ", SPACE))
-            out.append(np.array([put(u, len(self.index)) for u in found], np.int64))
-        if len(self.index) > known:
-            self.build(list(islice(self.index, known, None)))
+            out.append(np.array([put(u, len(index)) for u in found], np.int64))
+        if len(index) > known:
+            self.build(list(islice(index, known, None)))
         return out
 
     def build(self, new: list[str]) -> None:

@@ -25,7 +25,6 @@ from math import exp, inf, log
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
