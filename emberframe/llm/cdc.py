@@ -57,12 +57,13 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """uid, doc_id, start, stop (bytes), n_words (that start in the chunk), d1, d2 (the digest); staged."""
+    """uid, doc_id, start, stop (bytes), n_words (that start in the chunk), d1, d2 (the digest), fresh (the digest's first
+    chunk in its document); staged."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own, first, last, words, one, two = [], [], [], [], [], []
+            own, first, last, words, one, two, fresh = [], [], [], [], [], [], []
             for k, t in enumerate(b.column(2).to_pylist()):
                 if not t:
                     continue
@@ -78,37 +79,38 @@ def chunks(docs: DataFrame) -> DataFrame:
                 words.append(np.add.reduceat(begins, starts))
                 one.append(d[:, 0])
                 two.append(d[:, 1])
+                new = np.zeros(len(ends), bool)
+                new[np.unique(d.view("V16").ravel(), return_index=True)[1]] = True
+                fresh.append(new)
             if not own:
                 continue
             at = pa.array(np.concatenate(own))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x).astype(kind)) for x, kind in ((first, np.int32), (last, np.int32), (words, np.int32), (one, np.int64), (two, np.int64)))],
-                ["uid", "doc_id", "start", "stop", "n_words", "d1", "d2"])
+                [b.column(0).take(at), b.column(1).take(at), *(pa.array(np.concatenate(x).astype(kind)) for x, kind in ((first, np.int32), (last, np.int32), (words, np.int32), (one, np.int64), (two, np.int64), (fresh, bool)))],
+                ["uid", "doc_id", "start", "stop", "n_words", "d1", "d2", "fresh"])
 
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(run, f"uid long, doc_id {kind}, start int, stop int, n_words int, d1 long, d2 long"), "chunks")
+    return stage(rows.mapInArrow(run, f"uid long, doc_id {kind}, start int, stop int, n_words int, d1 long, d2 long, fresh boolean"), "chunks")
 
 
 def repeated_spans(docs: DataFrame, span_words: int = SPAN_WORDS) -> DataFrame:
     """One row for each span of a text whose chunks all occur in other documents too: doc_id, start, stop (bytes of the text in UTF-8),
-    n_words, n_chunks, n_first (chunks of it that stay here), keep_id (the document in which most
-    of its chunks stay)."""
+    n_words, n_chunks, kept (whether it stays here), keep_id (the document in which most of its chunks stay)."""
     rows = chunks(docs)
     key = ["d1", "d2"]
-    groups = stage(rows.groupBy(*key).agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("uid").alias("low"), F.max("uid").alias("high")).where("low <> high")
-        .drop("low", "high"), "chunk-groups")
-    twice = attach(rows, groups, key, "n", rows.count()).select(
-        "uid", "doc_id", "start", "stop", "n_words", "first_id", F.col("doc_id").eqNullSafe(F.col("first_id")).alias("stays"))
+    # A document counts once for a digest, so two or more are several documents.
+    groups = stage(rows.where("fresh").groupBy(*key).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1"), "chunk-groups")
+    # Chunks move with as little as possible: a document's id is put back at the end, when only spans are left.
+    found = attach(rows.select("uid", "start", "stop", "n_words", *key), groups, key, "n", rows.count()).select("uid", "start", "stop", "n_words", "first_id")
+    ids = rows.where("start = 0").select("uid", "doc_id")
     # Spans of touching chunks: a document's chunks in order, a new span wherever one doesn't start at the last one's end.
     order = Window.partitionBy("uid").orderBy("start")
     opens = F.when(F.lag("stop").over(order) == F.col("start"), 0).otherwise(1)
-    spans = twice.withColumn("opens", opens).withColumn("span", F.sum("opens").over(order))
-    return spans.groupBy("uid", "span").agg(
-        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"),
-        F.count("*").alias("n_chunks"), F.count_if("stays").alias("n_first"), F.mode("first_id", True).alias("keep_id")).where(F.col("n_words") >= span_words).select(
-        "doc_id", "start", "stop", "n_words", "n_chunks", "n_first", "keep_id")
+    # Within a span only a few first_ids occur, most of them often: they are counted, not listed.
+    runs = found.withColumn("opens", opens).withColumn("span", F.sum("opens").over(order)).groupBy("uid", "span").agg(
+        F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("n_words").alias("n_words"), F.count("*").alias("n_chunks"), F.mode("first_id", True).alias("keep_id")).where(F.col("n_words") >= span_words)
+    return runs.join(ids, "uid").select("doc_id", "start", "stop", "n_words", "n_chunks", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "keep_id")
 
 
 def op7_cdc_spans(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def test_repeated_passages(spark):
         span = text[r["doc_id"]][r["start"]:r["stop"]]
         assert sum(span in t for t in text.values()) >= 2 or r["doc_id"] in (2, 5, 7) and span[20:-20] in passage.encode()
         assert r["keep_id"] == (2 if r["doc_id"] in (2, 5, 7) else 0)
-        assert (r["n_first"] >= r["n_chunks"] - 2) == (r["doc_id"] in (0, 2))  # a chunk may be shared by chance
+        assert r["kept"] == (r["doc_id"] in (0, 2))
     assert cdc.repeated_spans(X.empty(spark)).count() == 0
 
 
