@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +15,8 @@ from ..sources.fuels import fuels
 
 CONFIG = Config()
 COLS = 40
-#: The spread queries run on SIDE x SIDE cells around the middle of the grid's first rows, for STEPS steps; the ensemble takes TOP of 25 scenarios.
-SIDE, STEPS, TOP = 20, 40, 10
+#: The spread queries run on the whole grid for STEPS steps; the ensemble takes TOP of 25 scenarios.
+STEPS, TOP = 40, 10
 
 
 def r6(x: Column | str) -> Column:
@@ -58,22 +60,24 @@ def blind_params(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(-2).cast("bigint").alias("sim_id"), F.lit(1.0).alias("wind_mult"), F.lit(0.0).alias("dir_offset"), F.lit(0.0).alias("moisture_offset"))
 
 
-def window_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The part of the grid that the spread queries run on: at most SIDE rows from row 0 and SIDE columns, renumbered from 0."""
-    found = land(spark, sf_dir).where((F.col("r") < SIDE) & (F.col("c") < SIDE))
-    return found.select("r", "c", "elevation", "moisture", "fuel_idx", F.least("rows", F.lit(SIDE)).alias("rows"))
-
-
 def ros(spark: SparkSession, sf_dir: str, scenarios: DataFrame) -> DataFrame:
     """sim_id, r, c, seed, p0 .. p7."""
-    base = landscape.shifted(window_cells(spark, sf_dir), "elevation")
+    base = landscape.shifted(land(spark, sf_dir).select("r", "c", "elevation", "moisture", "fuel_idx", "rows"), "elevation")
     found = spread.directional(spread.scenarios(base, scenarios, CONFIG), fuels(spark), CONFIG)
     mid = F.floor(F.col("rows") / 2)
-    return found.withColumn("seed", (F.abs(F.col("r") - mid) <= 1) & (F.abs(F.col("c") - SIDE // 2) <= 1))
+    return found.withColumn("seed", (F.abs(F.col("r") - mid) <= 1) & (F.abs(F.col("c") - COLS // 2) <= 1))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the checkpoint folder: spark.checkpoint.dir, else one of our own."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="emberframe-"))
+    return df.checkpoint()
 
 
 def arrival(spark: SparkSession, sf_dir: str, scenarios: DataFrame) -> DataFrame:
-    return spread.arrivals(ros(spark, sf_dir, scenarios), STEPS, CONFIG.burn_steps)
+    return spread.arrivals_tiled(ros(spark, sf_dir, scenarios), STEPS, CONFIG.burn_steps, stage=checkpointed)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +202,7 @@ def blind_vs_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = arrival(spark, sf_dir, blind_params(spark)).join(window_cells(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
+    a = arrival(spark, sf_dir, blind_params(spark)).join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
     return a.select("r", "c", display.display_code(F.col("fuel_idx"), F.col("ignite_step"), STEPS - 1, CONFIG.burn_steps).alias("code"))
 
 
@@ -211,7 +215,7 @@ def compass_polyline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def overlay_terrain_prob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_cells(spark, sf_dir).select("r", "c", r6("elevation").alias("elevation")).join(
+    return land(spark, sf_dir).select("r", "c", r6("elevation").alias("elevation")).join(
         confidence(spark, sf_dir).select("r", "c", r6("probability").alias("p")), ["r", "c"], "left").select("r", "c", "elevation", F.nullif("p", F.lit(0.0)).alias("probability"))
 
 
@@ -227,7 +231,7 @@ def playback_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuel_burn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assimilation.burned(arrival(spark, sf_dir, blind_params(spark)), STEPS).join(window_cells(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
+    a = assimilation.burned(arrival(spark, sf_dir, blind_params(spark)), STEPS).join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
     return a.groupBy("fuel_idx").agg(F.count("*").alias("cells"), F.count_if("burned").alias("burned")).join(F.broadcast(fuels(spark).select("fuel_idx", "fuel_name")), "fuel_idx").select("fuel_idx", "fuel_name", "cells", "burned")
 
 
