@@ -2,16 +2,16 @@
 
 For similarity of word shingles (SIMILAR and more of all different shingles shared), 64 bits say too little: a
 text gets BITS bits. Two bits agree with a probability that follows from the similarity, so the share of equal bits
-of a SKETCH_WORDS * 64 bit sketch estimates it (within about 0.05), and copies agree in all bits of some band with
+of a SKETCH_WORDS * 64 bit sketch estimates it (candidates have SLACK), and copies agree in all bits of some band with
 high probability: the number of bands is set so that a pair at SIMILAR is met with probability FOUND. Bands are wider
 the more fingerprints there are, so that a band's key stays rare among texts that have nothing in common.
 
 Fingerprints with a key in common are a block. Reference fingerprints are drawn from the block itself; distances to them
-are its pivot table; pairs that differ by more than the reach in any coordinate are discarded, survivors are verified on
-the sketch, and the block gives a spanning forest of its links. A block of more than BLOCK members (a cloud of near copies)
-is read as a stream instead: each fingerprint is compared with the block's leaders so far, linked to all that are near, and
-leads itself if none is. Very large blocks are dealt in parts, and the parts' leaders then meet in the same way, so
-memory is leaders only and no task gets all of a block. What a stream may miss in one band it meets in others.
+are its pivot table; pairs that differ by more than the reach in any coordinate are discarded, and survivors near on the
+sketch are candidates. A block of more than BLOCK members (a cloud of near copies) is a star: all its members are candidates.
+Candidates only say which texts are compared: within a component of candidates, texts are linked if their sets of shingles
+share SIMILAR of all. A component goes to one group of rows; one of more than PART members is dealt in parts, and each two
+parts are such a group, so no pair of it is left out, at a cost that grows with the square of its size.
 
 Edge cases: a null or blank text has fingerprint zero and is like any other such text; fewer words than a shingle: the
 whole sequence is the only one; repeated rows are one node; a null doc_id comes last in a group; an empty table gives no
@@ -36,8 +36,10 @@ from .simhash import SEED, links_in
 
 SHINGLE, SIMILAR, FOUND = 5, 0.8, 0.98
 BITS, SKETCH_WORDS = 1024, 4
-#: Members of a block that are compared pair by pair, reference fingerprints of a block, and rows of a part of a larger one.
-BLOCK, REFERENCES, PART = 1024, 8, 50_000
+#: Standard deviations of slack of candidates; texts of fewer shingles than FEW don't follow the bit model and are always compared by their sets.
+SLACK, FEW = 4.5, 64
+#: Members of a block that are compared pair by pair, reference fingerprints of a block, and members of a part of a component of candidates.
+BLOCK, REFERENCES, PART = 1024, 8, 1024
 STEPS = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
 
 
@@ -46,8 +48,13 @@ def differing(similar: float) -> float:
     return acos(2 * similar / (1 + similar)) / pi
 
 
-#: Sketch bits that a pair at SIMILAR differs in, with one standard deviation of slack.
-REACH = round(64 * SKETCH_WORDS * differing(SIMILAR) + (64 * SKETCH_WORDS * differing(SIMILAR) * (1 - differing(SIMILAR))) ** 0.5)
+def reach(bits: int) -> int:
+    """Bits that a pair at SIMILAR differs in, with SLACK."""
+    return round(bits * differing(SIMILAR) + SLACK * (bits * differing(SIMILAR) * (1 - differing(SIMILAR))) ** 0.5)
+
+
+#: Of a sketch, and of all bits.
+REACH, WIDE_REACH = reach(64 * SKETCH_WORDS), reach(BITS)
 
 
 def bands(nodes: int) -> list[np.ndarray]:
@@ -59,18 +66,24 @@ def bands(nodes: int) -> list[np.ndarray]:
     return [bits[k * width:(k + 1) * width] for k in range(n)]
 
 
-def wide_fingerprint(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
-    """BITS bits, as uint64 words."""
+def shingles(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    """Hashes of the different shingles, sorted."""
     words = text.lower().split() if text else []
     if not words:
-        return np.zeros(BITS // 64, np.uint64)
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     width = min(width, len(words))
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = len(words) - width + 1
     h = np.fromiter((xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[width - 1:].tolist(), strict=True)), np.uint64, n)
-    h = np.unique(h)  # similarity is of different shingles
+    return np.unique(h)  # similarity is of different shingles
+
+
+def wide_of(h: np.ndarray) -> np.ndarray:
+    """BITS bits of a set of shingles, as uint64 words."""
+    if not len(h):
+        return np.zeros(BITS // 64, np.uint64)
     total = np.zeros(BITS, np.int64)
     for k in range(0, len(h), 1024):
         wide = mix(h[k:k + 1024, None] + STEPS)
@@ -78,6 +91,67 @@ def wide_fingerprint(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
     return np.packbits(2 * total > len(h), bitorder="little").view(np.uint64)
 
 
+def wide_fingerprint(text: bytes | None, width: int = SHINGLE) -> np.ndarray:
+    return wide_of(shingles(text, width))
+
+
+def same(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles share SIMILAR of all."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= SIMILAR * (len(a) + len(b) - both) - 1e-9
+
+
+def exact_links(sets: list[np.ndarray], wide: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all similar ones of some texts, each verified on the sets. Pairs that are connected already aren't looked at."""
+    order = np.array(sorted(range(len(sets)), key=lambda k: len(sets[k])))
+    size, wide = np.array([len(sets[k]) for k in order]), wide[order]
+    root, out = np.arange(len(order)), []
+    for i in range(1, len(order)):
+        low = int(np.searchsorted(size, SIMILAR * size[i] - 1e-9))  # a much smaller set can't be similar
+        d = np.bitwise_count(wide[low:i] ^ wide[i]).sum(1, dtype=np.int64)
+        near = np.flatnonzero((d <= WIDE_REACH) | (size[low:i] < FEW))
+        left = low + near[np.argsort(d[near], kind="stable")]
+        while len(left):
+            j, left = left[0], left[1:]
+            if same(sets[order[i]], sets[order[j]]):
+                out.append((int(order[i]), int(order[j])))
+                root[root == root[j]] = root[i]
+                left = left[root[left] != root[i]]
+    return out
+
+
+def verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Links (a, b) of similar nodes within the components that candidates make (node, root). Components of more than PART members are dealt
+    in parts, and each two parts meet in a group of their own."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
+    placed = attach(roots, sizes, ["root"], "m", roots.count()).withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
+    own = F.pmod(F.xxhash64("node"), "parts").cast("int")
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    members = rows.select("rid", "wide", "shingles").join(placed.join(nodes.select("node", "rid"), "node"), "rid")
+    met = members.withColumn("at", F.explode(F.when(F.col("parts") == 1, alone).otherwise(others))).select("root", "at.i", "at.j", "node", "wide", "shingles")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, group = None, []
+
+        def send() -> pa.RecordBatch:
+            links = exact_links([np.frombuffer(x[2], np.uint64) for x in group], np.frombuffer(b"".join(x[1] for x in group), np.uint64).reshape(len(group), -1))
+            return pa.RecordBatch.from_arrays([pa.array([group[k[side]][0] for k in links], pa.int64()) for side in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for root, i, j, *rest in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (root, i, j) != key:
+                    if len(group) > 1:
+                        yield send()
+                    key, group = (root, i, j), []
+                group.append(rest)
+        if len(group) > 1:
+            yield send()
+
+    return stage(met.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long"), "similar-links")
+
+
 def _members(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """Rows key, node, sketch in order of key: links (key, a, b) and, with a = b, the leaders of streamed blocks."""
     key, node, sk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SKETCH_WORDS), np.uint64)
@@ -152,7 +226,7 @@ def _links(sk: np.ndarray, tab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def linked(nodes: DataFrame, total: int) -> DataFrame:
-    """nodes: node, wide (binary), one row each. Links (a, b) of similar ones, enough to connect them."""
+    """nodes: node, wide (binary), one row each. Links (a, b) of candidates, enough to connect them."""
     keyed_by = bands(total)
     bits = np.concatenate(keyed_by)
     weights = (1 << np.arange(len(keyed_by[0]))).astype(np.int64)
@@ -189,24 +263,27 @@ def linked(nodes: DataFrame, total: int) -> DataFrame:
 
 
 def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, node (hash of the wide fingerprint), wide; staged."""
+    """rid (of the row), doc_id, node (hash of the wide fingerprint), wide, shingles (their hashes, sorted); staged."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = [wide_fingerprint(t, width).tobytes() for t in b.column(1).to_pylist()]
+            sets = [shingles(t, width) for t in b.column(2).to_pylist()]
+            wide = [wide_of(h).tobytes() for h in sets]
             node = np.array([int.from_bytes(xxh64_digest(w), "big", signed=True) for w in wide], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(wide, pa.binary())], ["doc_id", "node", "wide"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["rid", "doc_id", "node", "wide", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return stage(docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, wide binary"), "wide-fingerprints")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return stage(rows.mapInArrow(run, f"rid long, doc_id {kind}, node long, wide binary, shingles binary"), "wide-fingerprints")
 
 
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, node, group_id (smallest doc_id that similar texts lead to, itself included; null if none has one)."""
     rows = fingerprinted(docs, width)
-    nodes = stage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.first("wide").alias("wide")), "wide-nodes")
-    roots = stage(components(linked(nodes, nodes.count())), "similar-roots")
+    nodes = stage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.first("wide").alias("wide")), "wide-nodes")
+    near = stage(components(linked(nodes, nodes.count())), "candidate-roots")
+    roots = stage(components(verified(rows, nodes, near)), "similar-roots")
     known = nodes.select("node", "n", "first_id")
     smallest = known.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("group_id"), F.count("*").alias("m"))
     of_linked = attach(roots, smallest, ["root"], "m", roots.count()).select("node", "group_id")

@@ -528,3 +528,37 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
 
     out = stages["pieces"](spark, at, str(tmp_path)).collect()
     assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r["doc_id"] for r in rows) and all(r["decoded"] for r in out)
+
+
+def drifting(rng, n, of=100, step=5):
+    """Versions of one text, each with `step` of its `of` shingles (of one word) replaced: near ones are similar, far ones aren't."""
+    now, out = [f"w{k}" for k in range(of)], []
+    for v in range(n):
+        out.append(" ".join(now))
+        for k in range(step):
+            now[(v * step + k) % of] = f"v{v}x{k}"
+    return out
+
+
+def exact_groups(texts, width):
+    sets = [set(zip(*[t.split()[k:] for k in range(width)], strict=False)) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    return {k: min(m for m in range(len(texts)) if root[m] == root[k]) for k in range(len(texts))}
+
+
+def test_similar_is_decided_on_shingles(spark):
+    """Pairs at 0.70 to 0.79 stay apart, pairs at 0.81 and more are one."""
+    rng = random.Random(11)
+    texts = []
+    for k in range(60):  # one word of a shingle of one word: (200 - e) / (200 + e) are shared
+        base = [f"d{k}w{j}" for j in range(200)]
+        edits = rng.choice([15, 18, 20, 25, 30, 35])
+        texts += [" ".join(base), " ".join([*base[edits:], *[f"d{k}z{j}" for j in range(edits)]])]
+    got = {r["doc_id"]: r["group_id"] for r in similar.groups(X.table(spark, [(k, t, "s") for k, t in enumerate(texts)]), 1).collect()}
+    want = exact_groups(texts, 1)
+    assert all(want[g] == want[i] for i, g in got.items())
+    assert sum(got[i] != g for i, g in want.items()) <= 2  # no band meets 2 % of pairs at 0.8
