@@ -153,50 +153,27 @@ def verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def _members(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Rows key, node, sketch in order of key: links (key, a, b) and, with a = b, the leaders of streamed blocks."""
+    """Rows key, node, sketch in order of key: links (a, b) of candidates. Members of a block of more than `block` are all linked to its first."""
     key, node, sk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SKETCH_WORDS), np.uint64)
-    large, leaders, lead_nodes = None, np.empty((0, SKETCH_WORDS), np.uint64), np.empty(0, np.int64)
-
-    def pairs(node: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        refs = sk[np.linspace(0, len(sk) - 1, min(REFERENCES, len(sk))).astype(int)]
-        tab = np.stack([np.bitwise_count(sk ^ r).sum(1, dtype=np.int64) for r in refs], 1)
-        a, b = _links(sk, tab)
-        return node[a], node[b]
-
-    def stream(node: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        nonlocal leaders, lead_nodes
-        out_a, out_b = [], []
-        for k in range(0, len(sk), 256):
-            x, n = sk[k:k + 256], node[k:k + 256]
-            near = np.stack([np.bitwise_count(x ^ v).sum(1, dtype=np.int64) <= REACH for v in leaders], 1) if len(leaders) else np.zeros((len(x), 0), bool)
-            i, j = np.nonzero(near)
-            out_a.append(n[i])
-            out_b.append(lead_nodes[j])
-            new = np.flatnonzero(~near.any(1))
-            if len(new):
-                a, b = pairs(n[new], x[new])
-                out_a += [a, n[new]]
-                out_b += [b, n[new]]
-                leaders, lead_nodes = np.concatenate([leaders, x[new]]), np.concatenate([lead_nodes, n[new]])
-        return np.concatenate(out_a), np.concatenate(out_b)
+    large, head = None, 0
 
     def finish(key: np.ndarray, node: np.ndarray, sk: np.ndarray, out: list) -> None:
-        nonlocal large, leaders, lead_nodes
+        nonlocal large, head
         edge = np.flatnonzero(np.diff(key)) + 1
         for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
             if e - s > block or key[s] == large:
                 if key[s] != large:
-                    large, leaders, lead_nodes = int(key[s]), leaders[:0], lead_nodes[:0]
-                a, b = stream(node[s:e], sk[s:e])
+                    large, head = int(key[s]), int(node[s])
+                out.append((node[s:e], np.full(e - s, head)))
             elif e - s > 1:
-                a, b = pairs(node[s:e], sk[s:e])
-            else:
-                continue
-            out.append((np.full(len(a), key[s]), a, b))
+                refs = sk[np.linspace(s, e - 1, min(REFERENCES, e - s)).astype(int)]
+                tab = np.stack([np.bitwise_count(sk[s:e] ^ r).sum(1, dtype=np.int64) for r in refs], 1)
+                a, b = _links(sk[s:e], tab)
+                out.append((node[s:e][a], node[s:e][b]))
 
     def send(out: list) -> pa.RecordBatch:
-        cols = [np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ([], [], []))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "a", "b"])
+        cols = [np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ([], []))]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -244,22 +221,12 @@ def linked(nodes: DataFrame, total: int) -> DataFrame:
 
     # Made twice, for the counts and for the blocks: cheaper than tens of rows a text on disk.
     keyed = nodes.select("node", "wide").mapInArrow(explode, "key long, node long, sketch binary")
-    # Keys with a hundredth of a percent of all rows or more (HOT at most for a band) are dealt in parts, each with leaders of its own.
-    hot = F.broadcast(keyed.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > PART) & (F.col("n") * HOT >= total))
-                      .select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    # Keys with a hundredth of a percent of all rows or more (HOT at most for a band): every member is linked to the smallest, and no task gets them all.
+    hot = F.broadcast(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where((F.col("n") > BLOCK) & (F.col("n") * HOT >= total)).select("key", "head"))
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.join(hot, "key", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("node", "parts")))
-
-    def meet(rows: DataFrame, name: str) -> DataFrame:
-        ordered = rows.repartition(n, "key", "part").sortWithinPartitions("key", "part")
-        # A part of a key is a block: its number goes into the key's free bits.
-        return stage(ordered.select((F.col("key") + F.shiftleft(F.col("part").cast("long"), 48)).alias("key"), "node", "sketch").mapInArrow(_members, "key long, a long, b long"), name)
-
-    first = meet(dealt, "band-links")
-    plain = F.col("key").bitwiseAND(F.lit((1 << 48) - 1))
-    heads = first.where("a = b").select(plain.alias("key"), F.col("a").alias("node")).join(hot.select("key"), "key", "left_semi")
-    second = meet(heads.join(nodes.select("node", F.substring("wide", 1, 8 * SKETCH_WORDS).alias("sketch")), "node").withColumn("part", F.lit(0)), "leader-links")
-    return first.unionByName(second).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    dealt = keyed.join(hot, "key", "left_anti").repartition(n, "key").sortWithinPartitions("key")
+    found = stage(dealt.mapInArrow(_members, "a long, b long"), "band-links").unionByName(keyed.join(hot, "key").select(F.col("node").alias("a"), F.col("head").alias("b")))
+    return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:

@@ -562,3 +562,20 @@ def test_similar_is_decided_on_shingles(spark):
     want = exact_groups(texts, 1)
     assert all(want[g] == want[i] for i, g in got.items())
     assert sum(got[i] != g for i, g in want.items()) <= 2  # no band meets 2 % of pairs at 0.8
+
+
+@pytest.mark.parametrize("part", [1024, 7])
+def test_large_blocks_lose_no_link(spark, monkeypatch, part):
+    """One key for all of a drifting text's versions: members that hang on no common leader are linked."""
+    monkeypatch.setattr(similar, "PART", part)
+    monkeypatch.setattr(similar._members, "__defaults__", (2,))
+    monkeypatch.setattr(similar, "bands", lambda nodes: [np.zeros(16, int)])
+    texts = drifting(random.Random(3), 40) + [f"a{k} b{k} c{k}" for k in range(20)]
+    random.Random(5).shuffle(texts)
+    got = {r["doc_id"]: r["group_id"] for r in similar.groups(X.table(spark, [(k, t, "s") for k, t in enumerate(texts)]), 1).collect()}
+    want = exact_groups(texts, 1)
+    low = {}
+    for t, k in zip(texts, range(len(texts)), strict=True):
+        bit = int(similar.wide_fingerprint(t.encode(), 1)[0]) & 1  # texts with another bit 0 have another key
+        low.setdefault((want[k], bit), set()).add(got[k])
+    assert all(len(x) == 1 for x in low.values())
