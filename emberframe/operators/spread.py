@@ -143,7 +143,8 @@ def state(k: Column, step: Column | int, burn_steps: int = 60) -> Column:
 
 def frames(arrival: DataFrame, steps: list[int] | range, burn_steps: int = 60) -> DataFrame:
     """arrival at each of the steps, with its state: the history as a projection, never stored."""
-    return arrival.withColumn("step", F.explode(F.array(*[F.lit(s) for s in steps]))).withColumn("state", state(F.col("ignite_step"), F.col("step"), burn_steps))
+    every = F.sequence(F.lit(steps[0]), F.lit(steps[-1])) if isinstance(steps, range) and steps.step == 1 and len(steps) else F.array(*[F.lit(s) for s in steps])
+    return arrival.withColumn("step", F.explode(every)).withColumn("state", state(F.col("ignite_step"), F.col("step"), burn_steps))
 
 
 def active_per_step(arrival: DataFrame, last: int, burn_steps: int = 60) -> DataFrame:

@@ -15,8 +15,8 @@ from ..sources.fuels import fuels
 
 CONFIG = Config()
 COLS = 40
-#: The spread queries run on the whole grid for STEPS steps; the ensemble takes TOP of 25 scenarios.
-STEPS, TOP = 40, 10
+#: Scores and ensembles are taken after STEPS steps on the whole grid, forward runs go to the end of the fire; the ensemble takes TOP of 25 scenarios.
+STEPS, TOP = 80, 10
 
 
 def r6(x: Column | str) -> Column:
@@ -76,8 +76,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arrival(spark: SparkSession, sf_dir: str, scenarios: DataFrame) -> DataFrame:
-    return spread.arrivals_tiled(ros(spark, sf_dir, scenarios), STEPS, CONFIG.burn_steps, stage=checkpointed)
+def arrival(spark: SparkSession, sf_dir: str, scenarios: DataFrame, steps: int = STEPS) -> DataFrame:
+    return spread.arrivals_tiled(ros(spark, sf_dir, scenarios), steps, CONFIG.burn_steps, stage=checkpointed)
+
+
+def forward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    """Arrivals of the blind scenario, and the step at which its fire is out (or the last one that Config.max_steps allows)."""
+    found = arrival(spark, sf_dir, blind_params(spark), CONFIG.max_steps)
+    last = found.agg(F.max("ignite_step")).first()[0]
+    return found, min(max(-1 if last is None else last + CONFIG.burn_steps, 11), CONFIG.max_steps - 1)
 
 
 def truth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,15 +154,17 @@ def directional_ros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ca_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return arrival(spark, sf_dir, blind_params(spark)).select("r", "c", "ignite_step")
+    return forward(spark, sf_dir)[0].select("r", "c", "ignite_step")
 
 
 def active_per_step(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread.active_per_step(arrival(spark, sf_dir, blind_params(spark)), STEPS - 1, CONFIG.burn_steps)
+    found, last = forward(spark, sf_dir)
+    return spread.active_per_step(found, last, CONFIG.burn_steps)
 
 
 def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread.frames(arrival(spark, sf_dir, blind_params(spark)), range(STEPS), CONFIG.burn_steps).select("step", "r", "c", F.col("state").cast("int").alias("state"))
+    found, last = forward(spark, sf_dir)
+    return spread.frames(found, range(last + 1), CONFIG.burn_steps).select("step", "r", "c", F.col("state").cast("int").alias("state"))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -202,8 +211,9 @@ def blind_vs_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def display_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = arrival(spark, sf_dir, blind_params(spark)).join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
-    return a.select("r", "c", display.display_code(F.col("fuel_idx"), F.col("ignite_step"), STEPS - 1, CONFIG.burn_steps).alias("code"))
+    found, last = forward(spark, sf_dir)
+    a = found.join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
+    return a.select("r", "c", display.display_code(F.col("fuel_idx"), F.col("ignite_step"), last, CONFIG.burn_steps).alias("code"))
 
 
 def color_lut(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +241,8 @@ def playback_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuel_burn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = assimilation.burned(arrival(spark, sf_dir, blind_params(spark)), STEPS).join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
+    found, last = forward(spark, sf_dir)
+    a = assimilation.burned(found, last).join(land(spark, sf_dir).select("r", "c", "fuel_idx"), ["r", "c"])
     return a.groupBy("fuel_idx").agg(F.count("*").alias("cells"), F.count_if("burned").alias("burned")).join(F.broadcast(fuels(spark).select("fuel_idx", "fuel_name")), "fuel_idx").select("fuel_idx", "fuel_name", "cells", "burned")
 
 
@@ -241,7 +252,7 @@ def objective(spark: SparkSession, sf_dir: str):  # noqa: ANN201
 
 
 def calibrate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assimilation.calibrate(spark, objective(spark, sf_dir), generations=1, popsize=5, seed=1)
+    return assimilation.calibrate(spark, objective(spark, sf_dir), seed=1)
 
 
 def twin_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ def whole_arrivals(monkeypatch, sims, steps):
 
 
 def test_arrivals_of_all_cells(spark, monkeypatch):
-    got = {tuple(x) for x in survey.arrival(spark, SF, survey.blind_params(spark)).select("sim_id", "r", "c", "ignite_step").collect()}
+    got = {tuple(x) for x in survey.arrival(spark, SF, survey.blind_params(spark), survey.STEPS).select("sim_id", "r", "c", "ignite_step").collect()}
     assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count()
     assert got == whole_arrivals(monkeypatch, "-2", survey.STEPS)
 
@@ -31,3 +31,14 @@ def test_arrivals_of_all_cells(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["confidence_map", "overlay_terrain_prob", "display_frame"])
 def test_rows_of_all_cells(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+
+
+def test_forward_run_reaches_the_end(spark, monkeypatch):
+    found, last = survey.forward(spark, SF)
+    rows = found.select("sim_id", "r", "c", "ignite_step").collect()
+    assert {tuple(x) for x in rows} == whole_arrivals(monkeypatch, "-2", last + 1)
+    active = {x["step"]: x["active"] for x in catalog.QUERIES["active_per_step"](spark, SF).collect()}
+    assert max(active) == last and active[last] == 0 and active[last - 1] > 0
+    assert survey.STEPS == 80 > survey.CONFIG.burn_steps
+    assert {x["code"] for x in catalog.QUERIES["display_frame"](spark, SF).collect()} >= {7}
+    assert {x["state"] for x in catalog.QUERIES["state_history"](spark, SF).collect()} == {0, 1, 2}
