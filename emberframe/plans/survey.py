@@ -15,6 +15,8 @@ from ..sources.fuels import fuels
 
 CONFIG = Config()
 COLS = 40
+#: Rows of nation that voronoi_fuel_map takes; more are an error.
+SEEDS = 1000
 #: Scores and ensembles are taken after STEPS steps on the whole grid, forward runs go to the end of the fire; the ensemble takes TOP of 25 scenarios.
 STEPS, TOP = 80, 10
 
@@ -126,10 +128,13 @@ def wind_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voronoi_fuel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds are rows of nation (25 by its definition): they go into the plan as literals."""
+    """Seeds are rows of nation (25 by its definition): they go into the plan as literals, SEEDS at most."""
     grid = cells(spark, sf_dir)
     rows = grid.agg(F.max("rows")).first()[0] or 1
-    seeds = [(k, k * 37 % rows, k * 11 % COLS, k % 6) for k in sorted(x[0] for x in read(spark, sf_dir, "nation").select("n_nationkey").limit(1000).collect())]
+    keys = sorted(x[0] for x in read(spark, sf_dir, "nation").select("n_nationkey").limit(SEEDS + 1).collect())
+    if len(keys) > SEEDS:
+        raise ValueError(f"nation has more than {SEEDS} rows")
+    seeds = [(k, k * 37 % rows, k * 11 % COLS, k % 6) for k in keys]
     return landscape.nearest_seed(grid, seeds).select("r", "c", F.col("seed_id").cast("int").alias("seed_id"), "fuel_idx", F.col("dist2").cast("bigint").alias("dist2"))
 
 

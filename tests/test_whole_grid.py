@@ -42,3 +42,11 @@ def test_forward_run_reaches_the_end(spark, monkeypatch):
     assert survey.STEPS == 80 > survey.CONFIG.burn_steps
     assert {x["code"] for x in catalog.QUERIES["display_frame"](spark, SF).collect()} >= {7}
     assert {x["state"] for x in catalog.QUERIES["state_history"](spark, SF).collect()} == {0, 1, 2}
+
+
+def test_too_many_seeds_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(survey, "SEEDS", 24)
+    with pytest.raises(ValueError, match="more than 24"):
+        survey.voronoi_fuel_map(spark, SF)
+    monkeypatch.setattr(survey, "SEEDS", 25)
+    assert survey.voronoi_fuel_map(spark, SF).count() == 200
