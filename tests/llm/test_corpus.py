@@ -382,7 +382,7 @@ def every(lattice, text):
             return [((), 0.0)]
         out, e = [], int(lattice.first.all[node])
         while True:
-            out += [((e, *rest), float(lattice.lp.all[e]) + lp) for rest, lp in paths(int(lattice.to.all[e]), end)]
+            out += [((e, *rest), float(lattice.lp.all[e]) + lp) for rest, lp in paths(node + int(lattice.vocab.length[lattice.piece.all[e]]), end)]
             if lattice.cum.all[e] >= 1:
                 return out
             e += 1
@@ -393,16 +393,46 @@ def every(lattice, text):
     return {tuple(lattice.ids(np.array(e)).tolist()): lp for e, lp in total}
 
 
-def test_probabilities_and_best(lattice):
+def test_probabilities(lattice):
     for text in ("the thin", "a\nb  c", "über", "🙂x"):
         dist = every(lattice, text)
         assert sum(map(math.exp, dist.values())) == pytest.approx(1, abs=1e-5)
         weight = {ids: sum(lattice.vocab.weight[i] for i in ids) for ids in dist}
-        best = tuple(lattice.encode(lattice.units([text]))[0].tolist())
-        assert weight[best] == pytest.approx(max(weight.values()))
+        total = math.log(sum(map(math.exp, weight.values())))
+        assert all(lp == pytest.approx(weight[ids] - total, abs=1e-4) for ids, lp in dist.items())
         assert {lattice.vocab.decode(list(i)) for i in dist} == {text}
 
 
+def test_matches_are_all_pieces_in_a_text(lattice):
+    text = "▁the▁thin🙂xé\n▁▁▁ab"
+    src, piece = lattice.vocab.matches(text)
+    want = {(i, lattice.vocab.ids[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in lattice.vocab.ids}
+    assert set(zip(src.tolist(), piece.tolist())) == want and len(src) == len(want)
+
+
+def test_encoding_is_the_library_s(spark, lattice, monkeypatch):
+    texts = [t or "" for _, t, _ in X.rows()] + ["\n", "\n\n a", " ", "  x \n", "a▁b", "\t\r\n", "<s> </s>", "\u2028e\u0301\x00"]
+    if X.HAVE:
+        texts += [r["text"] or "" for r in spark.read.parquet(X.SF.replace("0.001", "0.01") + "/documents.parquet").select("text").collect()]
+    want = lattice.vocab.sp.encode(texts)
+    for new in (60_000, 7):  # units are built a few at a time or many
+        monkeypatch.setattr(pieces, "MOST_NEW", new)
+        lattice.clear()
+        some = texts if new > 100 else texts[:40]
+        got = [e.tolist() for k in range(0, len(some), 100) for e in lattice.encode(some[k:k + 100], lattice.units(some[k:k + 100]))]
+        assert got == want[:len(some)]
+
+
+def test_memory_is_bounded_and_freed(spark, lattice, monkeypatch):
+    monkeypatch.setattr(pieces, "MOST_BYTES", 300_000)
+    rng = random.Random(2)
+    for _ in range(20):
+        lattice.encode(t := [X.words(rng, 200)], lattice.units(t))
+        assert lattice.held() < 600_000
+    lattice.clear()
+    assert lattice.held() < 100_000
+
+
 def test_samples_follow_the_distribution_without_replacement(lattice):
     text, n = "the thin", 6000
     dist = every(lattice, text)
@@ -448,8 +478,9 @@ def test_batches_do_not_matter(lattice):
 def test_encode_and_decode(spark):
     docs = X.table(spark)
     got = pieces.encode(docs, with_ids=True).collect()
-    assert len(got) == docs.count() and all(r["decoded"] and all(s["decoded"] for s in r["samples"]) for r in got)
-    texts = collections.Counter((i, t or "") for i, t, _ in X.rows())
+    assert len(got) == docs.count() and all(s["decoded"] for r in got for s in r["samples"])
+    assert sum(not r["decoded"] for r in got) == sum("▁" in (t or "") for _, t, _ in X.rows()) == 1
+    texts = collections.Counter((i, (t or "").replace("▁", " ")) for i, t, _ in X.rows())  # the library reads this character as a space
     back = pieces.decode(spark.createDataFrame([(r["doc_id"], r["ids"]) for r in got], "doc_id bigint, ids array<int>")).collect()
     assert collections.Counter((r["doc_id"], r["text"]) for r in back) == texts
     same = [r for r in got if r["doc_id"] == 18]
@@ -527,7 +558,7 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     assert max(collections.Counter(r["doc_id"] for r in rows).values()) <= 2
 
     out = stages["pieces"](spark, at, str(tmp_path)).collect()
-    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r["doc_id"] for r in rows) and all(r["decoded"] for r in out)
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(r["doc_id"] for r in rows) and all(r["decoded"] and all(x["decoded"] for x in r["samples"]) for r in out)
 
 
 def drifting(rng, n, of=100, step=5):
