@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..cluster import ship
+
 #: A word is a maximal run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -29,28 +31,47 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only where all run on one machine (tests) may it be unset."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not found:
         found = getattr(sc, "_emberframe_dir", None)
         if not found:
+            if not re.fullmatch(r"local(\[.*\])?", sc.master):
+                raise RuntimeError("spark.checkpoint.dir isn't set: name a folder that driver and executors share")
             found = sc._emberframe_dir = tempfile.mkdtemp(prefix="emberframe-")
             sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):  # noqa: ANN202
+    """(the file system of a path, the path), as Spark sees them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it again: cuts the lineage, so that a lost
-    executor costs a reread and no recomputation, and gives later scans their column pruning."""
+    executor costs a reread and no recomputation, and gives later scans their column pruning. The table goes when the session ends, or by release()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _path(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Remove a staged table that nothing reads any more."""
+    fs, p = _path(df.sparkSession, df._staged)
+    fs.delete(p, True)
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, so that whole texts of any length fit a Python worker."""
+    """Before Python workers get texts: bound the rows of an Arrow batch, so that whole texts of any length fit a worker, and give the workers the package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

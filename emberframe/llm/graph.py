@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach, stage
+from .common import attach, release, stage
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
@@ -32,7 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         both = now.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(now.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = stage(_canonical(_star(both, 2 * n).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))), "large-star")
         small = _star(large.select(F.col("a").alias("u"), F.col("b").alias("v")), large.count())
-        now = stage(_canonical(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))), "small-star")
+        last, now = now, stage(_canonical(small.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("u").alias("a"), F.col("m").alias("b")))), "small-star")
+        release(last)
+        release(large)
     else:
         raise RuntimeError(f"links didn't converge in {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

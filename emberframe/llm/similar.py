@@ -14,8 +14,8 @@ share SIMILAR of all. A component goes to one group of rows; one of more than PA
 parts are such a group, so no pair of it is left out, at a cost that grows with the square of its size.
 
 Edge cases: a null or blank text has fingerprint zero and is like any other such text; fewer words than a shingle: the
-whole sequence is the only one; repeated rows are one node; a null doc_id comes last in a group; an empty table gives no
-rows; columns of other names pass through.
+whole sequence is the only one; repeated rows are one node; different texts with one doc_id are rows of their own; a null
+doc_id comes last in a group; an empty table gives no rows; columns of other names pass through.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
-from .common import HOT, attach, one_row_each, small_batches, stage
+from .common import HOT, attach, small_batches, stage
 from .graph import components
 from .pieces import mix
 from .simhash import SEED, links_in
@@ -229,8 +229,8 @@ def linked(nodes: DataFrame, total: int) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """rid (of the row), doc_id, node (hash of the wide fingerprint), wide, shingles (their hashes, sorted); staged."""
+def fingerprinted(docs: DataFrame, width: int = SHINGLE, rid: str | None = None) -> DataFrame:
+    """rid (of the row: column `rid` of docs, or a new number), doc_id, node (hash of the wide fingerprint), wide, shingles (their hashes, sorted); staged."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,17 +241,24 @@ def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["rid", "doc_id", "node", "wide", "shingles"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    rows = docs.select(F.col(rid) if rid else F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
     return stage(rows.mapInArrow(run, f"rid long, doc_id {kind}, node long, wide binary, shingles binary"), "wide-fingerprints")
 
 
+def rooted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of fingerprinted rows: (nodes: node, n, first (the smallest of its rows: no doc_id last, doc_id, rid), rid, wide), (roots: node, root of similar nodes)."""
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
+    nodes = rows.groupBy("node").agg(F.count("*").alias("n"), order.alias("first"), F.first("wide").alias("wide"))
+    nodes = stage(nodes.withColumn("rid", F.col("first.rid")), "wide-nodes")
+    near = stage(components(linked(nodes, nodes.count())), "candidate-roots")
+    return nodes, stage(components(verified(rows, nodes, near)), "similar-roots")
+
+
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, node, group_id (smallest doc_id that similar texts lead to, itself included; null if none has one)."""
     rows = fingerprinted(docs, width)
-    nodes = stage(rows.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.first("wide").alias("wide")), "wide-nodes")
-    near = stage(components(linked(nodes, nodes.count())), "candidate-roots")
-    roots = stage(components(verified(rows, nodes, near)), "similar-roots")
-    known = nodes.select("node", "n", "first_id")
+    nodes, roots = rooted(rows)
+    known = nodes.select("node", "n", F.col("first.doc_id").alias("first_id"))
     smallest = known.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("group_id"), F.count("*").alias("m"))
     of_linked = attach(roots, smallest, ["root"], "m", roots.count()).select("node", "group_id")
     named = stage(known.join(of_linked, "node", "left").select("node", "n", F.coalesce("group_id", "first_id").alias("group_id")), "similar-groups")
@@ -261,7 +268,11 @@ def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One row of docs for each group of near copies, that with the smallest doc_id, with docs' columns.
 
-    Rows without a doc_id are kept: nothing says which of them is first. Rows that share the doc_id that stays are one."""
-    found = stage(groups(docs, width).where("doc_id = group_id").groupBy("doc_id").agg(F.count("*").alias("__n")), "near-kept")
-    kept = docs.join(found.select("doc_id"), "doc_id", "left_semi")
-    return one_row_each(kept, ["doc_id"], found.where("__n > 1").select("doc_id")).unionByName(docs.where("doc_id IS NULL"))
+    Rows are told apart by a number of their own, so different texts with one doc_id are judged one by one; a row without a
+    doc_id stays only if none of its group has one; of equal doc_ids one row stays."""
+    numbered = stage(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-rows")
+    nodes, roots = rooted(fingerprinted(numbered, width, "__rid"))
+    of_linked = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
+    alone = nodes.select("node", "rid").join(roots.select("node"), "node", "left_anti").select("rid")
+    kept = of_linked.unionByName(alone).withColumnRenamed("rid", "__rid")
+    return numbered.join(kept, "__rid", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

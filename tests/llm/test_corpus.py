@@ -228,6 +228,13 @@ def test_sketch_estimates_similarity():
     assert not similar.wide_fingerprint(None).any() and not similar.wide_fingerprint(b" ").any()
 
 
+def test_one_doc_id_on_different_texts(spark):
+    rng = random.Random(8)
+    a, b = X.words(rng, 60), X.words(rng, 60)
+    got = similar.keep_one(X.table(spark, [(5, a, "s"), (5, b, "s"), (3, b, "s"), (None, a, "s"), (None, "only null", "s"), (None, "only null", "s")]))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got.collect()) == sorted([(5, a), (3, b), (0, "only null")])
+
+
 def test_near_stage_rows(spark):
     docs = X.table(spark)
     got = similar.keep_one(docs)
