@@ -14,6 +14,9 @@ PARTICLE_DENSITY = 32.0
 ETA_S = 0.174 * 0.01**-0.19
 M_TO_FT, MS_TO_FTMIN, FTMIN_TO_MPM = 3.28084, 196.8504, 0.3048
 
+#: Terms of a cell whose fuel isn't in the table: nothing spreads there.
+NO_FUEL = {"w0": 0.0, "mx": 0.3, "rho": 1e-9, "beta": 1e-9, "rel_beta": 1e-9, "ir0": 0.0, "xi": 0.0, "sink": 0.0, "c_w": 0.0, "b_w": 0.0, "e_w": 0.0}
+
 
 def fuel_terms(fuels: DataFrame) -> DataFrame:
     """fuels with w0, mx, rho and what depends on the fuel alone: beta, rel_beta, ir0 (reaction intensity before moisture

@@ -7,7 +7,7 @@ from math import pi
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.fuels import COLOURS
+from ..sources.fuels import COLOURS, STATE_COLOURS
 from .spread import state
 
 # Fixed values, in pixels: the compass's centre, radius and label radius.
@@ -38,6 +38,11 @@ def colours(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(COLOURS, "code int, hex string").select("code", "hex", part(2).alias("red"), part(4).alias("green"), part(6).alias("blue"), F.lit(1.0).alias("alpha"))
 
 
+def state_colours(spark: SparkSession) -> DataFrame:
+    """state, hex: the flat display's colours."""
+    return spark.createDataFrame(STATE_COLOURS, "state int, hex string")
+
+
 def interval_ms(fps: float) -> int:
     return max(1, int(1000 / fps))
 

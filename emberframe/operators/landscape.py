@@ -38,30 +38,30 @@ def moisture(elev_norm: Column, noise: Column, config: Config = Config()) -> Col
     return clip(base + (1.0 - elev_norm) * 0.02 + noise, 0.01, 0.30)
 
 
-def nearest_seed(cells: DataFrame, seeds: list[tuple[int, float, float, int]]) -> DataFrame:
-    """cells with seed_id and fuel_idx of the nearest seed (seed_id, row, column, fuel); of equal distances the lowest seed_id.
+def nearest_seed(cells: DataFrame, seeds: DataFrame, most: int = 1000) -> DataFrame:
+    """cells with seed_id, fuel_idx and dist2 of the nearest seed (seed_id, sr, sc, fuel_idx); of equal distances the lowest seed_id.
 
-    The seeds are a literal array, so each cell finds its seed in place, without a join or a shuffle."""
-    best = F.array_min(F.array(*[F.struct(
-        ((F.col("r") - F.lit(float(sr))) * (F.col("r") - F.lit(float(sr))) + (F.col("c") - F.lit(float(sc))) * (F.col("c") - F.lit(float(sc)))).alias("d2"),
-        F.lit(k).alias("seed_id"), F.lit(fuel).alias("fuel_idx")) for k, sr, sc, fuel in seeds]))
-    return cells.withColumn("__s", best).withColumns({"seed_id": F.col("__s.seed_id"), "fuel_idx": F.col("__s.fuel_idx"), "dist2": F.col("__s.d2")}).drop("__s")
+    The seeds are one broadcast row, so each cell finds its seed in place, without a shuffle; more than `most` of them are an error."""
+    all_ = seeds.agg(F.collect_list(F.struct("seed_id", "sr", "sc", "fuel_idx")).alias("__all"))
+    all_ = all_.select(F.when(F.size("__all") <= most, F.col("__all")).otherwise(F.raise_error(F.lit(f"more than {most} seeds"))).alias("__all"))
+    away = lambda x, at: (F.col(x) - at) * (F.col(x) - at)
+    best = F.array_min(F.transform("__all", lambda s: F.struct((away("r", s["sr"]) + away("c", s["sc"])).alias("dist2"), s["seed_id"].alias("seed_id"), s["fuel_idx"].alias("fuel_idx"))))
+    return cells.crossJoin(F.broadcast(all_)).select(*cells.columns, best.alias("__s")).select(*cells.columns, "__s.seed_id", "__s.fuel_idx", "__s.dist2")
 
 
 def shifted(cells: DataFrame, col: str, keys: list[str] | None = None, prefix: str = "s") -> DataFrame:
     """cells with {prefix}0 .. {prefix}7: col at each neighbour's source (r - dr, c - dc), 0 off the grid.
 
-    Windows by row, column and the two diagonals: four sorts for eight neighbours, and no self join."""
+    Windows by row, column and the two diagonals, all in one projection: four sorts for eight neighbours, and no self join."""
     keys = keys or []
     part = {(1, 0): ["c"], (0, 1): ["r"], (1, 1): [F.col("r") - F.col("c")], (1, -1): [F.col("r") + F.col("c")]}
-    out = cells
+    new = {}
     for d, (dr, dc) in enumerate(OFFSETS):
         line = (1, 0) if dc == 0 else (0, 1) if dr == 0 else (1, 1) if dr == dc else (1, -1)
-        order = "c" if dr == 0 else "r"
-        w = Window.partitionBy(*keys, *part[line]).orderBy(order)
+        w = Window.partitionBy(*keys, *part[line]).orderBy("c" if dr == 0 else "r")
         before = dr > 0 or dr == 0 and dc > 0
-        out = out.withColumn(f"{prefix}{d}", (F.lag if before else F.lead)(col, 1, 0.0).over(w))
-    return out
+        new[f"{prefix}{d}"] = (F.lag if before else F.lead)(col, 1, 0.0).over(w)
+    return cells.withColumns(new)
 
 
 def random_terrain(spark: SparkSession, config: Config = Config(), patches: int = 8, seed: int = 0) -> DataFrame:
@@ -69,7 +69,7 @@ def random_terrain(spark: SparkSession, config: Config = Config(), patches: int
     import random
 
     rng = random.Random(seed)
-    seeds = [(k, rng.random() * config.rows, rng.random() * config.cols, rng.randrange(6)) for k in range(patches)]
+    seeds = spark.createDataFrame([(k, rng.random() * config.rows, rng.random() * config.cols, rng.randrange(6)) for k in range(patches)], "seed_id int, sr double, sc double, fuel_idx int")
     cells = grid(spark, config.rows, config.cols)
     cells = cells.withColumn("elevation", elevation(axis(F.col("c"), config.cols), axis(F.col("r"), config.rows)))
     cells = normalised(nearest_seed(cells, seeds))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..cluster import ship
 from ..config import Config
 from ..functions import rothermel
 from ..functions.weather import clip, wind_u, wind_v
@@ -21,12 +22,16 @@ from ..sources.fuels import OFFSETS
 from .landscape import shifted
 
 P = [f"p{d}" for d in range(8)]
+#: Cells of a grid that one task solves, at most: its fractions take 32 bytes a cell, the rows that bring them some 100.
+ONE_TASK = 1_000_000
 
 
 def scenarios(cells: DataFrame, params: DataFrame, config: Config = Config()) -> DataFrame:
-    """cells for every row of params (sim_id, wind_mult, dir_offset, moisture_offset), with the scenario's moisture and wind."""
+    """cells for every row of params (sim_id, wind_mult, dir_offset, moisture_offset), with the scenario's moisture and wind.
+
+    params is broadcast: a search's scenarios are planned on the driver, hundreds of them."""
     speed, bearing = config.wind_speed * F.col("wind_mult"), F.pmod(config.wind_dir + F.col("dir_offset"), F.lit(360.0))
-    both = cells.crossJoin(params.select("sim_id", "moisture_offset", wind_u(speed, bearing).alias("wind_u"), wind_v(speed, bearing).alias("wind_v")))
+    both = cells.crossJoin(F.broadcast(params.select("sim_id", "moisture_offset", wind_u(speed, bearing).alias("wind_u"), wind_v(speed, bearing).alias("wind_v"))))
     return both.withColumn("moisture", clip(F.col("moisture") + F.col("moisture_offset"), 0.01, 0.30)).drop("moisture_offset")
 
 
@@ -36,8 +41,7 @@ def directional(cells: DataFrame, fuels: DataFrame, config: Config = Config()) -
     Shifts come before scenarios: pass cells that have s0 .. s7 already to share them among scenarios."""
     if "s0" not in cells.columns:
         cells = shifted(cells, "elevation")
-    known = cells.join(F.broadcast(rothermel.fuel_terms(fuels)), "fuel_idx", "left").na.fill(
-        {"w0": 0.0, "mx": 0.3, "rho": 1e-9, "beta": 1e-9, "rel_beta": 1e-9, "ir0": 0.0, "xi": 0.0, "sink": 0.0, "c_w": 0.0, "b_w": 0.0, "e_w": 0.0})
+    known = cells.join(F.broadcast(rothermel.fuel_terms(fuels)), "fuel_idx", "left").na.fill(rothermel.NO_FUEL)
     known = known.withColumns(rothermel.reaction(F.col("moisture")))
     return known.withColumns({f"p{d}": rothermel.fraction(dr, dc, F.col("elevation"), F.col(f"s{d}"), F.col("wind_u"), F.col("wind_v"), config.cell_size_m, config.dt)
                               for d, (dr, dc) in enumerate(OFFSETS)})
@@ -46,9 +50,10 @@ def directional(cells: DataFrame, fuels: DataFrame, config: Config = Config()) -
 def burn(p: np.ndarray, k: np.ndarray, steps: int, burn_steps: int, fixed: np.ndarray | None = None) -> np.ndarray:
     """Arrival steps on one grid. p: (8, R, C); k: start, -1 for seeds, steps + 1 for none; fixed: cells that keep their k.
 
-    A cell heats in steps k + 1 .. k + burn_steps - 1; heat adds up in order of direction and never decays."""
+    A cell heats in steps k + 1 .. k + burn_steps - 1; heat adds up in FLOAT in order of direction and never decays."""
     k = k.copy()
-    heat = np.zeros(k.shape)
+    p = p.astype(np.float32, copy=False)
+    heat = np.zeros(k.shape, np.float32)
     free = (k > steps) if fixed is None else (k > steps) & ~fixed
     pad = np.zeros((k.shape[0] + 2, k.shape[1] + 2), bool)
     last = 0 if fixed is None else int(k[fixed & (k <= steps)].max(initial=0))
@@ -71,16 +76,20 @@ def seeded(r: Column, c: Column, rows: int, cols: int) -> Column:
     return (F.abs(r - rows // 2) <= 1) & (F.abs(c - cols // 2) <= 1)
 
 
+def _solved(rows: pd.DataFrame, steps: int, burn_steps: int) -> np.ndarray:
+    """Arrival of each row of one scenario."""
+    r, c = (rows["r"] - rows["r"].min()).to_numpy(), (rows["c"] - rows["c"].min()).to_numpy()
+    p = np.zeros((8, r.max() + 1, c.max() + 1), np.float32)
+    k = np.full(p.shape[1:], steps + 1)
+    for d, name in enumerate(P):
+        p[d, r, c] = rows[name]
+    k[r, c] = np.where(rows["seed"], -1, steps + 1)
+    return burn(p, k, steps, burn_steps)[r, c]
+
+
 def _one_sim(steps: int, burn_steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        r0, c0 = rows["r"].min(), rows["c"].min()
-        r, c = (rows["r"] - r0).to_numpy(), (rows["c"] - c0).to_numpy()
-        p = np.zeros((8, r.max() + 1, c.max() + 1))
-        k = np.full(p.shape[1:], steps + 1)
-        for d, name in enumerate(P):
-            p[d, r, c] = rows[name]
-        k[r, c] = np.where(rows["seed"], -1, steps + 1)
-        found = burn(p, k, steps, burn_steps)[r, c]
+        found = _solved(rows, steps, burn_steps)
         out = rows[["sim_id", "r", "c"]].copy()
         out["ignite_step"] = pd.array(np.where(found > steps, 0, found), "Int32")
         out.loc[found > steps, "ignite_step"] = pd.NA
@@ -89,8 +98,35 @@ def _one_sim(steps: int, burn_steps: int) -> Callable[[pd.DataFrame], pd.DataFra
     return run
 
 
+def _one_score(steps: int, burn_steps: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        burned, seen = _solved(rows, steps, burn_steps) <= steps, rows["seen"].fillna(False).to_numpy(bool)
+        return pd.DataFrame({"sim_id": rows["sim_id"].iloc[:1], "i": [int((burned & seen).sum())], "u": [int((burned | seen).sum())]})
+
+    return run
+
+
+def overlaps(ros: DataFrame, cells: int, steps: int, burn_steps: int = 60, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """ros with seen (whether a cell has been observed to burn): sim_id, i and u, cells of the intersection and union with it after `steps`.
+
+    A scenario on a grid of at most ONE_TASK cells is scored where it's simulated, and only its two counts leave the task."""
+    if cells <= ONE_TASK:
+        ship(ros.sparkSession)
+        return ros.select("sim_id", "r", "c", "seed", "seen", *P).groupBy("sim_id").applyInPandas(_one_score(steps, burn_steps), "sim_id bigint, i bigint, u bigint")
+    seen = ros.select("sim_id", "r", "c", F.coalesce("seen", F.lit(False)).alias("seen"))
+    burned = F.coalesce(F.col("ignite_step") <= steps, F.lit(False))
+    return arrivals_tiled(ros, steps, burn_steps, stage=stage).join(seen, ["sim_id", "r", "c"]).groupBy("sim_id").agg(
+        F.count_if(burned & F.col("seen")).alias("i"), F.count_if(burned | F.col("seen")).alias("u"))
+
+
+def simulate(ros: DataFrame, cells: int, steps: int, burn_steps: int = 60, stage: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Arrivals (sim_id, r, c, ignite_step) on a grid of so many cells: one task a scenario, or tiles beyond ONE_TASK cells."""
+    return arrivals(ros, steps, burn_steps) if cells <= ONE_TASK else arrivals_tiled(ros, steps, burn_steps, stage=stage)
+
+
 def arrivals(ros: DataFrame, steps: int, burn_steps: int = 60) -> DataFrame:
     """ros: sim_id, r, c, seed, p0 .. p7. Returns sim_id, r, c, ignite_step. One task a scenario: grids that fit a worker."""
+    ship(ros.sparkSession)
     return ros.select("sim_id", "r", "c", "seed", *P).groupBy("sim_id").applyInPandas(_one_sim(steps, burn_steps), "sim_id bigint, r int, c int, ignite_step int")
 
 
@@ -99,6 +135,7 @@ def arrivals_tiled(ros: DataFrame, steps: int, burn_steps: int = 60, tile: int =
     changes. Arrivals only ever fall from never, so rounds are about as many as tiles that the fire crosses in a row.
 
     stage: writes and rereads a round's table; checkpoint() by default."""
+    ship(ros.sparkSession)
     stage = stage or (lambda df: df.checkpoint())
     none = steps + 1
     now = stage(ros.select("sim_id", "r", "c", *P, F.when(F.col("seed"), -1).otherwise(none).alias("k")))
@@ -111,7 +148,7 @@ def arrivals_tiled(ros: DataFrame, steps: int, burn_steps: int = 60, tile: int =
         r0, c0 = rows["r"].min(), rows["c"].min()
         r, c = (rows["r"] - r0).to_numpy(), (rows["c"] - c0).to_numpy()
         shape = (r.max() + 1, c.max() + 1)
-        p, k, fixed = np.zeros((8, *shape)), np.full(shape, none), np.ones(shape, bool)
+        p, k, fixed = np.zeros((8, *shape), np.float32), np.full(shape, none), np.ones(shape, bool)
         for d, name in enumerate(P):
             p[d, r, c] = rows[name]
         rim = rows["rim"].to_numpy()

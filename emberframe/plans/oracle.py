@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from ..sources.fuels import COLOURS, FUELS, OFFSETS
+import numpy as np
 
-SIDE, STEPS, TOP, COLS, B = 20, 40, 10, 40, 60
+from ..operators.assimilation import BOUNDS, start
+from ..sources.fuels import COLOURS, FUELS, OFFSETS, STATE_COLOURS
+
+STEPS, TOP, COLS, B, LONGEST, EVERY = 80, 10, 40, 60, 5000, 50
 
 
 def values(rows: list[tuple]) -> str:
@@ -24,9 +27,10 @@ normed AS (SELECT *, (elevation - (SELECT min(elevation) FROM terrain)) / (SELEC
 weather AS (SELECT least(greatest((2.22749::DOUBLE + 0.160107::DOUBLE * 10 - 0.01478::DOUBLE * (38.0::DOUBLE * 9 / 5 + 32)) / 100, 0.01), 0.30) AS base),
 land AS (SELECT r, c, nr, elevation, elev_norm, fuel_idx, least(greatest((SELECT base FROM weather) + (1 - elev_norm) * 0.02::DOUBLE + noise, 0.01::DOUBLE), 0.30::DOUBLE) AS moisture FROM normed)"""
 
-SCENARIO = """
-scen AS (SELECT CAST(n_nationkey AS BIGINT) AS sim_id, 0.5::DOUBLE + 2.5::DOUBLE * n_nationkey / 24 AS wind_mult, -45::DOUBLE + 90::DOUBLE * ((n_nationkey * 7) % 25) / 24 AS dir_offset,
-         -0.1::DOUBLE + 0.2::DOUBLE * ((n_nationkey * 11) % 25) / 24 AS moisture_offset FROM nation
+NATIONS = """SELECT CAST(n_nationkey AS BIGINT) AS sim_id, 0.5::DOUBLE + 2.5::DOUBLE * n_nationkey / 24 AS wind_mult, -45::DOUBLE + 90::DOUBLE * ((n_nationkey * 7) % 25) / 24 AS dir_offset,
+         -0.1::DOUBLE + 0.2::DOUBLE * ((n_nationkey * 11) % 25) / 24 AS moisture_offset FROM nation"""
+SCENARIO = f"""
+scen AS ({NATIONS}
          UNION ALL SELECT -1, 2.0::DOUBLE, 20.0::DOUBLE, -0.03::DOUBLE UNION ALL SELECT -2, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE),
 winds AS (SELECT *, 1.0::DOUBLE * wind_mult AS wind_speed, ((45 + dir_offset) % 360 + 360) % 360 AS wind_dir FROM scen),
 wind AS (SELECT *, wind_speed * cos(radians(((90 - wind_dir) % 360 + 360) % 360)) AS u, wind_speed * sin(radians(((90 - wind_dir) % 360 + 360) % 360)) AS v FROM winds)"""
@@ -52,20 +56,25 @@ edge AS (SELECT t.sim_id, t.r, t.c, o.d, t.r - o.dr AS sr, t.c - o.dc AS sc,
          FROM heat t CROSS JOIN offs o {"" if inner else "LEFT "}JOIN heat n ON n.sim_id = t.sim_id AND n.r = t.r - o.dr AND n.c = t.c - o.dc)"""
 
 
-def spread(sims: str) -> str:
-    """arrival: sim_id, r, c, k after STEPS steps on the window, by recursion over steps."""
-    return f"""WITH RECURSIVE {FUEL}, {OFFSET}, {LAND}, {SCENARIO},
+def spread(sims: str, steps: int | None = STEPS, scenario: str = SCENARIO) -> str:
+    """arrival: sim_id, r, c, k by recursion over steps on the whole grid; steps: how many, or None for as long as anything burns (LONGEST at most).
+
+    Heat adds up in FLOAT, direction by direction."""
+    heat = " + ".join(f"coalesce(max(CASE WHEN e.d = {d} AND s.lit THEN e.p END), 0::FLOAT)" for d in range(8))
+    go = f"s.t < {steps}" if steps else f"s.t < least({LONGEST}, s.newest + {B})"
+    return f"""WITH RECURSIVE {FUEL}, {OFFSET}, {LAND}, {scenario},
 base AS (SELECT w.sim_id, l.r, l.c, l.elevation, l.fuel_idx, w.u, w.v, least(greatest(l.moisture + w.moisture_offset, 0.01::DOUBLE), 0.30::DOUBLE) AS moisture
-         FROM land l CROSS JOIN wind w WHERE l.r < {SIDE} AND l.c < {SIDE} AND w.sim_id IN ({sims})),
+         FROM land l CROSS JOIN wind w WHERE w.sim_id IN ({sims})),
 {PHYSICS}, {edges(0.1, True)},
-step_edge AS MATERIALIZED (SELECT sim_id, r, c, d, sr, sc, CAST(p AS DOUBLE) AS p FROM edge UNION ALL SELECT sim_id, r, c, -1, r, c, 0 FROM base),
-mid AS (SELECT least(max(nr), {SIDE}) // 2 AS r FROM land),
-run AS (SELECT 0 AS t, sim_id, r, c, CASE WHEN abs(r - (SELECT r FROM mid)) <= 1 AND abs(c - {SIDE // 2}) <= 1 THEN -1 END AS k FROM base
+step_edge AS MATERIALIZED (SELECT sim_id, r, c, d, sr, sc, p FROM edge UNION ALL SELECT sim_id, r, c, -1, r, c, 0::FLOAT FROM base),
+mid AS (SELECT max(nr) // 2 AS r FROM land),
+run AS (SELECT 0 AS t, sim_id, r, c, CASE WHEN abs(r - (SELECT r FROM mid)) <= 1 AND abs(c - {COLS // 2}) <= 1 THEN -1 END AS k, 0::FLOAT AS heat FROM base
         UNION ALL
-        SELECT s.t + 1, e.sim_id, e.r, e.c, coalesce(max(CASE WHEN e.d = -1 THEN s.k END),
-               CASE WHEN sum(CASE WHEN e.d >= 0 AND s.k IS NOT NULL THEN e.p * least(greatest(s.t - s.k, 0), {B - 1}) ELSE 0 END) >= 1 THEN s.t END)
-        FROM run s JOIN step_edge e ON s.sim_id = e.sim_id AND s.r = e.sr AND s.c = e.sc WHERE s.t < {STEPS} GROUP BY s.t, e.sim_id, e.r, e.c),
-arrival AS (SELECT sim_id, r, c, k AS ignite_step, k IS NOT NULL AND k <= {STEPS} AS burned FROM run WHERE t = {STEPS})"""
+        SELECT t + 1, sim_id, r, c, CASE WHEN k IS NOT NULL THEN k WHEN heat >= 1 THEN t END, heat FROM (
+            SELECT s.t, e.sim_id, e.r, e.c, max(CASE WHEN e.d = -1 THEN s.k END) AS k, max(CASE WHEN e.d = -1 THEN s.heat END) + {heat} AS heat
+            FROM (SELECT *, coalesce(k < t AND t < k + {B}, false) AS lit, max(k) OVER () AS newest FROM run) s JOIN step_edge e ON s.sim_id = e.sim_id AND s.r = e.sr AND s.c = e.sc
+            WHERE {go} GROUP BY s.t, e.sim_id, e.r, e.c)),
+arrival AS (SELECT sim_id, r, c, k AS ignite_step, k IS NOT NULL AS burned FROM run WHERE t = (SELECT max(t) FROM run))"""
 
 
 ALL, TRUTH, BLIND = "SELECT sim_id FROM scen", "-1", "-2"
@@ -75,10 +84,19 @@ scores AS (SELECT a.sim_id, CASE WHEN count_if(a.burned OR t.burned) > 0 THEN co
 best AS (SELECT row_number() OVER (ORDER BY iou DESC, sim_id) AS rank, * FROM scores)"""
 CONFIDENCE = f"""{spread(ALL)}, {SCORES},
 conf AS (SELECT r, c, count_if(burned) / (SELECT count(*) FROM best WHERE rank <= {TOP}) AS probability FROM arrival WHERE sim_id IN (SELECT sim_id FROM best WHERE rank <= {TOP}) GROUP BY r, c)"""
-ACTIVE = f"""{spread(BLIND)}, act AS (SELECT CAST(s.step AS INT) AS step, count_if(a.ignite_step <= s.step AND s.step < a.ignite_step + {B}) AS active FROM range({STEPS}) s(step) CROSS JOIN arrival a GROUP BY s.step)"""
+#: The forward run, and every step of it: a run ends behind step 10 when nothing burns.
+FORWARD = f"""{spread(BLIND, None)}, steps AS (SELECT CAST(unnest(range(least({LONGEST}, greatest(max(ignite_step) + {B}, 11) + 1))) AS INT) AS step FROM arrival)"""
+ACTIVE = f"""{FORWARD}, act AS (SELECT s.step, count_if(a.ignite_step <= s.step AND s.step < a.ignite_step + {B}) AS active FROM steps s CROSS JOIN arrival a GROUP BY s.step)"""
 STATE = f"CASE WHEN ignite_step IS NULL OR ignite_step > step THEN 0 WHEN step < ignite_step + {B} THEN 1 ELSE 2 END"
 
 
+def _search() -> tuple[str, str]:
+    """Scenarios and scores of the search's first generation."""
+    rows = [(k, *map(float, v)) for k, v in enumerate(start(np.random.default_rng(1), BOUNDS, 10 * len(BOUNDS)))]
+    own = SCENARIO.replace(NATIONS, f"SELECT * FROM (VALUES {values(rows)}) AS v(sim_id, wind_mult, dir_offset, moisture_offset)")
+    return spread(ALL, STEPS, own), SCORES
+
+
 def six(*names: str) -> str:
     return ", ".join(f"round({n}, 6) + 0.0::DOUBLE AS {n}" for n in names)
 
@@ -116,9 +134,9 @@ ORACLE_SQL = {
     "reaction_intensity": f"WITH {FUEL}, {LAND}, base AS (SELECT 0 AS sim_id, r, c, elevation, moisture, fuel_idx, 0.0 AS u, 0.0 AS v FROM land), {PHYSICS} SELECT r, c, {six('rel_beta', 'eta_m', 'ir', 'xi', 'denom')} FROM heat",
     "directional_ros": f"WITH {FUEL}, {OFFSET}, {LAND}, base AS (SELECT 0 AS sim_id, r, c, elevation, moisture, fuel_idx, cos(radians(45)) AS u, sin(radians(45)) AS v FROM land), {PHYSICS}, {edges(0.1, False)} SELECT r, c, "
         + ", ".join(f"round(max(CASE WHEN d = {d} THEN CAST(p AS DOUBLE) END), 5) + 0.0::DOUBLE AS p{d}" for d in range(8)) + " FROM edge GROUP BY r, c",
-    "ca_arrival": f"{spread(BLIND)} SELECT r, c, ignite_step FROM arrival",
+    "ca_arrival": f"{spread(BLIND, None)} SELECT r, c, ignite_step FROM arrival",
     "active_per_step": f"{ACTIVE} SELECT step, active FROM act",
-    "state_history": f"{spread(BLIND)} SELECT CAST(step AS INT) AS step, r, c, {STATE} AS state FROM arrival CROSS JOIN range({STEPS}) s(step)",
+    "state_history": f"{FORWARD} SELECT step, r, c, {STATE} AS state FROM arrival CROSS JOIN steps",
     "iou_by_scenario": f"{spread(ALL)}, {SCORES} SELECT sim_id, {six('iou')} FROM scores",
     "loss_best_params": f"{spread(ALL)}, {SCORES} SELECT sim_id, round(1 - iou, 6) AS loss, round(iou * 100, 4) AS accuracy, {six('wind_mult', 'dir_offset', 'moisture_offset')} FROM best JOIN scen USING (sim_id) WHERE rank = 1",
     "ensemble_top_k": f"{spread(ALL)}, {SCORES} SELECT CAST(rank AS INT) AS rank, sim_id, {six('iou')} FROM best WHERE rank <= {TOP}",
@@ -126,12 +144,15 @@ ORACLE_SQL = {
     "confidence_masked": f"{CONFIDENCE} SELECT r, c, nullif(round(probability, 6), 0) AS probability FROM conf",
     "blind_vs_truth": f"""{spread("-1, -2")} SELECT count_if(b.burned) AS blind, count_if(t.burned) AS observed, count_if(b.burned AND t.burned) AS "both", count_if(b.burned OR t.burned) AS either, count_if(b.burned AND NOT t.burned) AS blind_only
         FROM arrival b JOIN arrival t USING (r, c) WHERE b.sim_id = -2 AND t.sim_id = -1""",
-    "display_frame": f"{spread(BLIND)}, last AS (SELECT *, {STEPS - 1} AS step FROM arrival) SELECT a.r, a.c, CASE {STATE} WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE fuel_idx END AS code FROM last a JOIN land l ON l.r = a.r AND l.c = a.c",
+    "display_frame": f"{FORWARD}, last AS (SELECT *, (SELECT max(step) FROM steps) AS step FROM arrival) SELECT a.r, a.c, CASE {STATE} WHEN 1 THEN 6 WHEN 2 THEN 7 ELSE fuel_idx END AS code FROM last a JOIN land l ON l.r = a.r AND l.c = a.c",
     "color_lut": f"SELECT code, hex, {', '.join(f'round(CAST(concat(chr(48), chr(120), substr(hex, {k}, 2)) AS INT) / 255.0::DOUBLE, 6) AS {n}' for n, k in (('red', 2), ('green', 4), ('blue', 6)))}, 1.0::DOUBLE AS alpha FROM (VALUES {values(COLOURS)}) AS v(code, hex)",
     "compass_polyline": _compass(),
-    "overlay_terrain_prob": f"{CONFIDENCE} SELECT r, c, {six('elevation')}, nullif(round(probability, 6), 0) AS probability FROM land LEFT JOIN conf USING (r, c) WHERE r < {SIDE} AND c < {SIDE}",
+    "overlay_terrain_prob": f"{CONFIDENCE} SELECT r, c, {six('elevation')}, nullif(round(probability, 6), 0) AS probability FROM land LEFT JOIN conf USING (r, c)",
     "burned_set_ops": f"""{spread("-1, -2")}, a AS (SELECT r, c FROM arrival WHERE sim_id = -2 AND burned), b AS (SELECT r, c FROM arrival WHERE sim_id = -1 AND burned)
         SELECT 'intersect' AS op, * FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'union', * FROM (SELECT * FROM a UNION SELECT * FROM b) UNION ALL SELECT 'except', * FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
-    "playback_progress": f"{ACTIVE} SELECT step, active, 33 AS interval_ms FROM act WHERE step % 10 = 0",
-    "fuel_burn_summary": f"{spread(BLIND)} SELECT fuel_idx, fuel_name, count(*) AS cells, count_if(burned) AS burned FROM arrival JOIN land USING (r, c) JOIN fuel USING (fuel_idx) GROUP BY fuel_idx, fuel_name",
+    "playback_progress": f"{ACTIVE}, told AS (SELECT *, active = 0 AND step = (SELECT max(step) FROM steps) AS extinguished FROM act) SELECT step, active, extinguished, 33 AS interval_ms FROM told WHERE step % {EVERY} = 0 OR extinguished",
+    "state_color_map": f"SELECT * FROM (VALUES {values(STATE_COLOURS)}) AS v(state, hex)",
+    "twin_recovery": f"{spread('-1, -2')} SELECT a.sim_id, round(count_if(a.burned AND t.burned) / count_if(a.burned OR t.burned), 6) AS iou FROM arrival a JOIN arrival t ON t.sim_id = -1 AND t.r = a.r AND t.c = a.c GROUP BY a.sim_id",
+    "calibration_start": f"{', '.join(_search())} SELECT sim_id, {six('wind_mult', 'dir_offset', 'moisture_offset', 'iou')} FROM scores JOIN scen USING (sim_id)",
+    "fuel_burn_summary": f"{spread(BLIND, None)} SELECT fuel_idx, fuel_name, count(*) AS cells, count_if(burned) AS burned FROM arrival JOIN land USING (r, c) JOIN fuel USING (fuel_idx) GROUP BY fuel_idx, fuel_name",
 }

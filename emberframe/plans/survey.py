@@ -17,6 +17,10 @@ CONFIG = Config()
 COLS = 40
 #: Rows of nation that voronoi_fuel_map takes; more are an error.
 SEEDS = 1000
+#: Of the calibration.
+SEED, POP = 1, 10
+#: The forward run tells how it goes every so many steps.
+EVERY = 50
 #: Scores and ensembles are taken after STEPS steps on the whole grid, forward runs go to the end of the fire; the ensemble takes TOP of 25 scenarios.
 STEPS, TOP = 80, 10
 
@@ -62,9 +66,14 @@ def blind_params(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(-2).cast("bigint").alias("sim_id"), F.lit(1.0).alias("wind_mult"), F.lit(0.0).alias("dir_offset"), F.lit(0.0).alias("moisture_offset"))
 
 
-def ros(spark: SparkSession, sf_dir: str, scenarios: DataFrame) -> DataFrame:
+def ground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all scenarios share: cells with their neighbours' heights."""
+    return landscape.shifted(land(spark, sf_dir).select("r", "c", "elevation", "moisture", "fuel_idx", "rows"), "elevation")
+
+
+def ros(spark: SparkSession, sf_dir: str, scenarios: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """sim_id, r, c, seed, p0 .. p7."""
-    base = landscape.shifted(land(spark, sf_dir).select("r", "c", "elevation", "moisture", "fuel_idx", "rows"), "elevation")
+    base = base or ground(spark, sf_dir)
     found = spread.directional(spread.scenarios(base, scenarios, CONFIG), fuels(spark), CONFIG)
     mid = F.floor(F.col("rows") / 2)
     return found.withColumn("seed", (F.abs(F.col("r") - mid) <= 1) & (F.abs(F.col("c") - COLS // 2) <= 1))
@@ -78,13 +87,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def size(spark: SparkSession, sf_dir: str) -> int:
+    """Cells of the grid, from the files' footers."""
+    return read(spark, sf_dir, "part").count()
+
+
 def arrival(spark: SparkSession, sf_dir: str, scenarios: DataFrame, steps: int = STEPS) -> DataFrame:
-    return spread.arrivals_tiled(ros(spark, sf_dir, scenarios), steps, CONFIG.burn_steps, stage=checkpointed)
+    return spread.simulate(ros(spark, sf_dir, scenarios), size(spark, sf_dir), steps, CONFIG.burn_steps, stage=checkpointed)
 
 
 def forward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Arrivals of the blind scenario, and the step at which its fire is out (or the last one that Config.max_steps allows)."""
-    found = arrival(spark, sf_dir, blind_params(spark), CONFIG.max_steps)
+    found = checkpointed(arrival(spark, sf_dir, blind_params(spark), CONFIG.max_steps))
     last = found.agg(F.max("ignite_step")).first()[0]
     return found, min(max(-1 if last is None else last + CONFIG.burn_steps, 11), CONFIG.max_steps - 1)
 
@@ -128,14 +142,11 @@ def wind_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def voronoi_fuel_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds are rows of nation (25 by its definition): they go into the plan as literals, SEEDS at most."""
-    grid = cells(spark, sf_dir)
-    rows = grid.agg(F.max("rows")).first()[0] or 1
-    keys = sorted(x[0] for x in read(spark, sf_dir, "nation").select("n_nationkey").limit(SEEDS + 1).collect())
-    if len(keys) > SEEDS:
-        raise ValueError(f"nation has more than {SEEDS} rows")
-    seeds = [(k, k * 37 % rows, k * 11 % COLS, k % 6) for k in keys]
-    return landscape.nearest_seed(grid, seeds).select("r", "c", F.col("seed_id").cast("int").alias("seed_id"), "fuel_idx", F.col("dist2").cast("bigint").alias("dist2"))
+    """Seeds are rows of nation (25 by its definition), SEEDS at most."""
+    k = F.col("n_nationkey")
+    seeds = read(spark, sf_dir, "nation").crossJoin(F.broadcast(read(spark, sf_dir, "part").agg((F.max("p_partkey") / COLS).cast("int").alias("last")))).select(
+        k.cast("int").alias("seed_id"), (k * 37 % (F.col("last") + 1)).alias("sr"), (k * 11 % COLS).alias("sc"), (k % 6).cast("int").alias("fuel_idx"))
+    return landscape.nearest_seed(cells(spark, sf_dir), seeds, SEEDS).select("r", "c", "seed_id", "fuel_idx", F.col("dist2").cast("bigint").alias("dist2"))
 
 
 def cell_fuel_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +159,7 @@ def neighbor_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reaction_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = land(spark, sf_dir).join(F.broadcast(rothermel.fuel_terms(fuels(spark))), "fuel_idx")
+    d = land(spark, sf_dir).join(F.broadcast(rothermel.fuel_terms(fuels(spark))), "fuel_idx", "left").na.fill(rothermel.NO_FUEL)
     return d.withColumns(rothermel.reaction(F.col("moisture"))).select("r", "c", *[r6(x).alias(x) for x in ("rel_beta", "eta_m", "ir", "xi", "denom")])
 
 
@@ -172,13 +183,17 @@ def state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread.frames(found, range(last + 1), CONFIG.burn_steps).select("step", "r", "c", F.col("state").cast("int").alias("state"))
 
 
-def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Burned cells of all scenarios and, as sim_id -1, of the observed one: one simulation job for all."""
-    return assimilation.burned(arrival(spark, sf_dir, params(spark, sf_dir).unionByName(truth_params(spark))), STEPS)
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ground that all scenarios share, with seen: whether a cell burned in the observed fire. Written once, for any number of scores."""
+    seen = truth(spark, sf_dir).select("r", "c", F.col("burned").alias("seen"))
+    return checkpointed(ground(spark, sf_dir).join(seen, ["r", "c"], "left"))
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assimilation.iou_of_truth(hits(spark, sf_dir), -1)
+def scored(spark: SparkSession, sf_dir: str, scenarios: DataFrame | None = None, base: DataFrame | None = None) -> DataFrame:
+    """sim_id, iou: scenarios are scored where they are simulated."""
+    base = base or observed(spark, sf_dir)
+    found = ros(spark, sf_dir, scenarios or params(spark, sf_dir), base)
+    return assimilation.ratio(spread.overlaps(found, size(spark, sf_dir), STEPS, CONFIG.burn_steps, stage=checkpointed))
 
 
 def iou_by_scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,8 +211,10 @@ def ensemble_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    burned = hits(spark, sf_dir).select("sim_id", "r", "c", "burned").cache()  # ranked, then summed up
-    return assimilation.confidence(burned.where("sim_id >= 0"), assimilation.top(assimilation.iou_of_truth(burned, -1), TOP))
+    """The best scenarios are run again, and only they give their cells."""
+    best = checkpointed(assimilation.top(scored(spark, sf_dir), TOP).select("sim_id"))
+    again = assimilation.burned(arrival(spark, sf_dir, params(spark, sf_dir).join(F.broadcast(best), "sim_id")), STEPS)
+    return assimilation.confidence(again, best)
 
 
 def confidence_map(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,8 +258,16 @@ def burned_set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tag("intersect", a.intersect(b)).unionByName(tag("union", a.union(b).distinct())).unionByName(tag("except", a.exceptAll(b)))
 
 
+def state_color_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return display.state_colours(spark)
+
+
 def playback_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return active_per_step(spark, sf_dir).where("step % 10 = 0").select("step", "active", F.lit(display.interval_ms(30)).alias("interval_ms"))
+    """The forward run's report: every EVERY steps, and the step at which nothing burns any more."""
+    found, last = forward(spark, sf_dir)
+    out = (F.col("step") == last) & (F.col("active") == 0)
+    return spread.active_per_step(found, last, CONFIG.burn_steps).where((F.col("step") % EVERY == 0) | out).select(
+        "step", "active", out.alias("extinguished"), F.lit(display.interval_ms(30)).alias("interval_ms"))
 
 
 def fuel_burn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,12 +277,19 @@ def fuel_burn_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def objective(spark: SparkSession, sf_dir: str):  # noqa: ANN201
-    seen = truth(spark, sf_dir).cache()
-    return lambda p: assimilation.iou(assimilation.burned(arrival(spark, sf_dir, p), STEPS), seen)
+    base = observed(spark, sf_dir)
+    return lambda p: scored(spark, sf_dir, p, base)
 
 
 def calibrate_generation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assimilation.calibrate(spark, objective(spark, sf_dir), seed=1)
+    """The whole search: every evaluation of every generation."""
+    return assimilation.calibrate(spark, objective(spark, sf_dir), popsize=POP, seed=SEED)
+
+
+def calibration_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search's first generation, scored."""
+    return assimilation.calibrate(spark, objective(spark, sf_dir), generations=0, popsize=POP, seed=SEED, polish=0).select(
+        "sim_id", *[r6(c).alias(c) for c in ("wind_mult", "dir_offset", "moisture_offset", "iou")])
 
 
 def twin_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -269,4 +301,4 @@ def twin_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     fuel_dimension, grid_coords, terrain_elevation, elevation_minmax_norm, emc_by_event, moisture_field, wind_vector, voronoi_fuel_map, cell_fuel_join, neighbor_shift,
     reaction_intensity, directional_ros, ca_arrival, active_per_step, state_history, iou_by_scenario, loss_best_params, ensemble_top_k, confidence_map, confidence_masked,
-    blind_vs_truth, display_frame, color_lut, compass_polyline, overlay_terrain_prob, burned_set_ops, playback_progress, fuel_burn_summary, calibrate_generation, twin_recovery)}
+    blind_vs_truth, display_frame, color_lut, state_color_map, calibration_start, compass_polyline, overlay_terrain_prob, burned_set_ops, playback_progress, fuel_burn_summary, calibrate_generation, twin_recovery)}

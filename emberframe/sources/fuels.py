@@ -20,6 +20,9 @@ OFFSETS = [(-1, 0), (1, 0), (0, -1), (0, 1), (-1, -1), (-1, 1), (1, -1), (1, 1)]
 # Display codes (fuel index, 6 burning, 7 ash) and their colours.
 COLOURS = [(0, "#d9f0a3"), (1, "#238b45"), (2, "#a1d99b"), (3, "#74c476"), (4, "#00441b"), (5, "#addd8e"), (6, "#ff4500"), (7, "#2a2a2a")]
 
+# States (unburned, burning, ash) and their colours on the flat display.
+STATE_COLOURS = [(0, "#2ca02c"), (1, "#d62728"), (2, "#1f77b4")]
+
 
 def fuels(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(FUELS, FUEL_SCHEMA)

@@ -38,6 +38,23 @@ def test_rows_only(spark):
     assert {x["sim_id"]: x["iou"] for x in catalog.QUERIES["twin_recovery"](spark, SF).collect()}[-1] == 1.0
 
 
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    """A driver that has the package on its own path only, in another working directory."""
+    import subprocess
+    import sys
+
+    code = f"""
+import sys; sys.path.insert(0, {os.path.dirname(os.path.dirname(os.path.abspath(__file__)))!r})
+from pyspark.sql import SparkSession
+s = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+from emberframe import catalog
+print("rows", catalog.QUERIES["twin_recovery"](s, {SF!r}).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_filters_and_columns_reach_the_scan(spark):
     plan = catalog.QUERIES["emc_by_event"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,value:double>" in plan and "Exchange" not in plan

@@ -51,22 +51,28 @@ def test_shift_fills_with_zero(spark):
 def slow_burn(p, k, steps, b):
     """Cell by cell, with the step order written out."""
     rows, cols = k.shape
-    state, timer, heat, k = (k < 0).astype(int), np.where(k < 0, b, 0), np.zeros(k.shape), k.copy()
+    state, timer, heat, k = (k < 0).astype(int), np.where(k < 0, b, 0), np.zeros(k.shape, np.float32), k.copy()
     for t in range(steps):
         timer[state == 1] -= 1
         state[(state == 1) & (timer <= 0)] = 2
-        add = np.zeros(k.shape)
         for r in range(rows):
             for c in range(cols):
                 for d, (dr, dc) in enumerate(OFFSETS):
                     if 0 <= r - dr < rows and 0 <= c - dc < cols and state[r, c] == 0 and state[r - dr, c - dc] == 1:
-                        add[r, c] += p[d, r, c]
-        heat += add
+                        heat[r, c] += p[d, r, c]
         new = (state == 0) & (heat >= 1)
         state[new], timer[new], k[new] = 1, b, t
     return k, state
 
 
+def test_heat_adds_up_in_float():
+    """80 times 0.0125 is below 1 in FLOAT: a cell with one burning neighbour needs 81 steps."""
+    k = np.array([[-1, 300]])
+    p = np.full((8, 1, 2), 0.0125, np.float32)
+    assert spread.burn(p, k, 200, 150)[0, 1] == 80
+    assert slow_burn(p, k, 200, 150)[0][0, 1] == 80
+
+
 def some_ros(spark, rows=14, cols=17):
     rng = np.random.default_rng(3)
     p = rng.uniform(0, 0.12, (8, rows, cols)).astype(np.float32)
@@ -79,7 +85,7 @@ def test_arrivals_agree(spark):
     steps = 50
     k0 = np.full(p.shape[1:], steps + 1)
     k0[6:9, 7:10] = -1
-    want, state = slow_burn(p.astype(float), k0, steps, 20)
+    want, state = slow_burn(p, k0, steps, 20)
     got = {(x["r"], x["c"]): x["ignite_step"] for x in spread.arrivals(ros, steps, 20).where("sim_id = 0").collect()}
     assert got == {(r, c): (int(want[r, c]) if want[r, c] <= steps else None) for r in range(14) for c in range(17)}
     tiled = {(x["sim_id"], x["r"], x["c"]): x["ignite_step"] for x in spread.arrivals_tiled(ros, steps, 20, tile=5).collect()}
@@ -129,6 +135,17 @@ def test_calibration_finds_optimum(spark):
     assert log.where("wind_mult < 0.5 OR wind_mult > 3 OR abs(dir_offset) > 45 OR abs(moisture_offset) > 0.1").count() == 0
 
 
+def test_calibration_ends_on_equal_losses_and_polishes(spark):
+    """Scores close to 1 have losses that differ much beside their mean; equal scores end the search at once."""
+    flat = assimilation.calibrate(spark, lambda p: p.select("sim_id", F.lit(0.5).alias("iou")), generations=9, popsize=2)
+    assert flat.agg(F.max("generation")).first()[0] == 2  # one generation, and a look around its best
+    near = assimilation.calibrate(spark, lambda p: p.select("sim_id", (1 - F.abs("moisture_offset") / 10).alias("iou")), generations=3, popsize=2, polish=0)
+    assert near.agg(F.max("generation")).first()[0] == 3
+    steep = assimilation.calibrate(spark, lambda p: p.select("sim_id", (1 - F.abs(F.col("wind_mult") - 2.0) / 4).alias("iou")), generations=1, popsize=2, polish=3)
+    best = steep.groupBy("generation").agg(F.max("iou").alias("iou")).orderBy("generation").collect()
+    assert best[-1]["generation"] == 2 and best[-1]["iou"] >= max(b["iou"] for b in best[:-1])
+
+
 def test_terrain_is_deterministic(spark):
     small = Config(rows=12, cols=9)
     a, b = (sorted(map(tuple, landscape.random_terrain(spark, small, seed=4).collect())) for _ in range(2))
@@ -156,3 +173,17 @@ def test_live_frames(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(x["step"], x["c"], x["code"]) for x in spark.sql("SELECT * FROM live").collect()} == {(0, 0, 6), (3, 0, 7), (3, 1, 6)}
+
+
+def test_live_moisture_and_ticks(spark, tmp_path):
+    from emberframe.streaming import live
+
+    rows = spark.createDataFrame([("2020-01-01 00:10:00", 25.0, 40.0), ("2020-01-01 00:50:00", 25.0, 50.0), ("2020-01-01 05:00:00", 38.0, 0.0), ("2020-01-01 09:00:00", 38.0, 0.0)], "ts string, temp_c double, rh double")
+    rows.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(str(tmp_path / "w"))
+    stream = spark.readStream.schema("ts timestamp, temp_c double, rh double").parquet(str(tmp_path / "w"))
+    q = live.live_moisture(stream).writeStream.format("memory").queryName("moist").outputMode("complete").start()
+    q.processAllAvailable()
+    q.stop()
+    got = [(x["n"], x["moisture"]) for x in spark.sql("SELECT * FROM moist ORDER BY window").collect()]
+    assert got == [(2, pytest.approx((0.0749371 + 0.0946565) / 2, rel=1e-6)), (1, 0.01), (1, 0.01)]
+    assert live.ticks(spark).isStreaming and live.ticks(spark).columns == ["ts", "step"]

@@ -1,4 +1,4 @@
-"""The spread queries on the whole grid."""
+"""The spread queries on the whole grid: one task a scenario and tiles agree with the recursion in SQL."""
 
 import os
 
@@ -6,47 +6,59 @@ import duckdb
 import pytest
 
 from emberframe import catalog
+from emberframe.operators import spread
 from emberframe.plans import oracle, survey
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 
 
-def whole_arrivals(monkeypatch, sims, steps):
-    """The recursion of oracle.spread with its window opened to all 40 columns (and rows: there are 5)."""
-    monkeypatch.setattr(oracle, "SIDE", survey.COLS)
-    monkeypatch.setattr(oracle, "STEPS", steps)
+def sql_arrivals(sims, steps):
     c = duckdb.connect()
     for t in ("part", "nation"):
         c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    return set(c.sql(f"{oracle.spread(sims)} SELECT sim_id, r, c, ignite_step FROM arrival").fetchall())
+    return set(c.sql(f"{oracle.spread(sims, steps)} SELECT sim_id, r, c, ignite_step FROM arrival").fetchall())
 
 
-def test_arrivals_of_all_cells(spark, monkeypatch):
+@pytest.mark.parametrize("one_task", [spread.ONE_TASK, 0])
+def test_arrivals_of_all_cells(spark, monkeypatch, one_task):
+    monkeypatch.setattr(spread, "ONE_TASK", one_task)
     got = {tuple(x) for x in survey.arrival(spark, SF, survey.blind_params(spark), survey.STEPS).select("sim_id", "r", "c", "ignite_step").collect()}
     assert len(got) == spark.read.parquet(f"{SF}/part.parquet").count()
-    assert got == whole_arrivals(monkeypatch, "-2", survey.STEPS)
+    assert got == sql_arrivals("-2", survey.STEPS)
 
 
-@pytest.mark.parametrize("name", ["confidence_map", "overlay_terrain_prob", "display_frame"])
-def test_rows_of_all_cells(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() == spark.read.parquet(f"{SF}/part.parquet").count()
+def test_scores_of_tiles(spark, monkeypatch):
+    want = {tuple(x) for x in catalog.QUERIES["twin_recovery"](spark, SF).collect()}
+    monkeypatch.setattr(spread, "ONE_TASK", 0)
+    assert {tuple(x) for x in catalog.QUERIES["twin_recovery"](spark, SF).collect()} == want
 
 
-def test_forward_run_reaches_the_end(spark, monkeypatch):
+def test_forward_run_reaches_the_end(spark):
     found, last = survey.forward(spark, SF)
     rows = found.select("sim_id", "r", "c", "ignite_step").collect()
-    assert {tuple(x) for x in rows} == whole_arrivals(monkeypatch, "-2", last + 1)
+    assert {tuple(x) for x in rows} == sql_arrivals("-2", None)
     active = {x["step"]: x["active"] for x in catalog.QUERIES["active_per_step"](spark, SF).collect()}
     assert max(active) == last and active[last] == 0 and active[last - 1] > 0
     assert survey.STEPS == 80 > survey.CONFIG.burn_steps
     assert {x["code"] for x in catalog.QUERIES["display_frame"](spark, SF).collect()} >= {7}
     assert {x["state"] for x in catalog.QUERIES["state_history"](spark, SF).collect()} == {0, 1, 2}
+    told = {x["step"]: x["extinguished"] for x in catalog.QUERIES["playback_progress"](spark, SF).collect()}
+    assert told == {s: False for s in range(0, last, survey.EVERY)} | {last: True}
 
 
 def test_too_many_seeds_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(survey, "SEEDS", 24)
-    with pytest.raises(ValueError, match="more than 24"):
-        survey.voronoi_fuel_map(spark, SF)
+    with pytest.raises(Exception, match="more than 24"):
+        survey.voronoi_fuel_map(spark, SF).collect()
     monkeypatch.setattr(survey, "SEEDS", 25)
     assert survey.voronoi_fuel_map(spark, SF).count() == 200
+
+
+def test_plans(spark):
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    shifts = plan(catalog.QUERIES["neighbor_shift"](spark, SF))
+    assert shifts.count("Exchange hashpartitioning") == 4 and "Join" not in shifts.replace("BroadcastNestedLoopJoin", "")
+    base = survey.observed(spark, SF)
+    scores = plan(survey.scored(spark, SF, None, base))
+    assert scores.count("Exchange hashpartitioning") == 1 and "CartesianProduct" not in scores and "SortMergeJoin" not in scores
