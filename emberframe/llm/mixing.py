@@ -7,11 +7,14 @@ constraints (documents and words of the source), so both totals stay as they are
 documents are undecided; the landing gives up one constraint after the other, words last, and one exchange of two documents then closes most
 of the gap in words that it left.
 
-Work is spread over blocks of a source (at most about BLOCK rows, by hash of doc_id); each block flies on its
+Work is spread over blocks of a source (at most about BLOCK rows, by hash of doc_id and size; rows whose doc_id is null or
+repeated often by their own number too); each block flies on its
 own and hands on what it couldn't decide, at most two rows; these meet in the next round's blocks, until one block
-of a source is left, which also lands. A hot source is many blocks, never one task. Draws are seeded by source,
+of a source is left, which also lands. A hot source is many blocks, never one task; many small sources share a task. Draws are seeded by source,
 round and block, and a block is sorted first, so reruns agree.
 
+Any number of sources will do: their sizes, ranks and targets are a table, and only a few sums of it come to the driver.
+
 Edge cases: a null or empty text has size 0: it's drawn like any document and takes 0 words; a null source is
 a source of its own, last in order; repeated rows are documents of their own; an empty table gives no rows;
 other columns are not read.
@@ -20,20 +23,21 @@ other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate
+from math import inf
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stage, table
+from ..cluster import ship
+from .common import WORD, attach, stage, table
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 BLOCK = 20_000
-#: Sources, at most, that the driver plans targets for.
-MAX_SOURCES = 1_000_000
 EPS = 1e-9
 
 
@@ -127,51 +131,88 @@ def exchange(p: np.ndarray, words: np.ndarray, goal: float) -> np.ndarray:
     return p
 
 
-def _round(seed: str, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    """Decides one block: flight and, in the last round, landing."""
+def decided(seed: str, g: int, b: int, last: bool, uid: np.ndarray, doc_id: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Probabilities of one block after its flight and, if it's its source's only block, landing."""
+    rng = np.random.default_rng(int.from_bytes(hashlib.blake2b(f"{seed}|{g}|{b}".encode(), digest_size=8).digest(), "big"))
+    order = np.argsort(uid, kind="stable")
+    for key in (size, doc_id):
+        order = order[np.argsort(key[order], kind="stable")]
+    # In random order, then the largest first: what stays undecided is mostly small, and so is the landing's error.
+    order = order[rng.permutation(len(order))]
+    order = order[np.argsort(-size[order], kind="stable")]
+    # Both constraints hold totals: documents (a one for each), then words.
+    a = np.column_stack([np.ones(len(order)), size[order] / max(1.0, size.mean())])
+    start = p[order]
+    q = flight(start, a, rng)
+    if last:
+        q = exchange(landing(q, a, rng), a[:, 1], float(start @ a[:, 1]))
+    out = np.empty(len(order))
+    out[order] = q
+    return out
+
 
-    def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        digest = hashlib.blake2b(f"{seed}|{key[0]}|{key[1]}".encode(), digest_size=8).digest()
-        rng = np.random.default_rng(int.from_bytes(digest, "big"))
-        rows = rows.sort_values(["doc_id", "size", "uid"], kind="stable")
-        # In random order, then the largest first: what stays undecided is mostly small, and so is the landing's error.
-        rows = rows.iloc[rng.permutation(len(rows))].sort_values("size", ascending=False, kind="stable")
-        # Both constraints hold totals: documents (a one for each), then words.
-        a = np.column_stack([np.ones(len(rows)), rows["size"].to_numpy(float) / max(1.0, rows["size"].mean())])
-        start = rows["p"].to_numpy(float)
-        p = flight(start, a, rng)
-        if last:
-            p = exchange(landing(p, a, rng), a[:, 1], float(start @ a[:, 1]))
-        return rows.assign(p=p)[["uid", "doc_id", "g", "size", "p"]]
+def _round(seed: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows uid, doc_id, g, b, blocks, size, p in order of g and b: each block decided. Holds one block and one batch."""
+
+    def done(t: pa.Table) -> pa.RecordBatch:
+        uid, g, b, blocks, size, p = (t.column(c).to_numpy() for c in ("uid", "g", "b", "blocks", "size", "p"))
+        names = np.array([x or "" for x in t.column("doc_id").to_pylist()], object)
+        new = p.copy()
+        edge = np.flatnonzero((np.diff(g) != 0) | (np.diff(b) != 0)) + 1
+        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(g)], strict=True):
+            new[s:e] = decided(seed, int(g[s]), int(b[s]), int(blocks[s]) == 1, uid[s:e], names[s:e], size[s:e].astype(float), p[s:e])
+        return pa.RecordBatch.from_arrays([t.column("uid").combine_chunks(), t.column("doc_id").combine_chunks(), pa.array(g), pa.array(size), pa.array(new)], schema=SCHEMA)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        at = lambda batch, k: (batch.column(2)[k].as_py(), batch.column(3)[k].as_py())
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = at(batch, batch.num_rows - 1)
+            g, b = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            tail = int(np.argmax((g == key[0]) & (b == key[1])))
+            if tail or held and at(held[0], 0) != key:
+                yield done(pa.Table.from_batches([*held, batch.slice(0, tail)]))
+                held = []
+            held.append(batch.slice(tail))
+        if held:
+            yield done(pa.Table.from_batches(held))
 
     return decide
 
 
+SCHEMA = pa.schema([("uid", pa.int64()), ("doc_id", pa.string()), ("g", pa.int64()), ("size", pa.int64()), ("p", pa.float64())])
+
+
 def sizes_of(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def cube(rows: DataFrame, seed: str = "mix", block: int = BLOCK) -> DataFrame:
     """rows: uid, doc_id, g (group), size, p (inclusion probability). Returns them with p 0 or 1 for every row."""
-    schema = "uid long, doc_id string, g int, size long, p double"
+    spark = rows.sparkSession
+    ship(spark)
+    undecided = f"p > {EPS} AND p < 1 - {EPS}"
     rows = rows.select("uid", F.col("doc_id").cast("string"), "g", "size", "p")
-    sizes = {r["g"]: r["n"] for r in rows.groupBy("g").agg(F.count("*").alias("n")).collect()}
-    open_, done = rows.where(f"p > {EPS} AND p < 1 - {EPS}"), [rows.where(f"p <= {EPS} OR p >= 1 - {EPS}")]
-    step = 0
+    open_, done, step, n = rows.where(undecided), [rows.where(f"NOT ({undecided})")], 0, int(spark.conf.get("spark.sql.shuffle.partitions"))
     while True:
-        blocks = {g: -(-n // block) for g, n in sizes.items()}
-        last = max(blocks.values(), default=1) <= 1
-        n_of = F.element_at(F.create_map(*[x for g, n in blocks.items() for x in (F.lit(g), F.lit(n))]), F.col("g")) if blocks else F.lit(1)
-        dealt = open_.withColumn("b", F.pmod(F.xxhash64(F.lit(step), "doc_id", "size"), n_of).cast("int"))
-        out = dealt.groupBy("g", "b").applyInPandas(_round(f"{seed}|{step}", last), schema)
-        if last:
-            return _union([*done, out])
+        sums = stage(open_.groupBy("g").agg(F.count("*").alias("n")), f"cube-groups-{step}")
+        total = sums.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("n")).first()
+        if not total[0]:
+            break
+        # A doc_id and size that fill a good part of a block would all be in one: they're dealt by row number.
+        often = open_.groupBy("g", "doc_id", "size").agg(F.count("*").alias("often")).where(F.col("often") * 8 > block)
+        tagged = attach(open_, often, ["g", "doc_id", "size"], "often", total[0], "left") if total[1] > block else open_.withColumn("often", F.lit(None).cast("long"))
+        salt = F.when(F.col("often").isNotNull() | F.col("doc_id").isNull(), F.col("uid")).otherwise(F.lit(0))
+        dealt = attach(tagged, sums.select("g", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), ["g"], "n", total[0])
+        dealt = dealt.select("uid", "doc_id", "g", F.pmod(F.xxhash64(F.lit(step), "doc_id", "size", salt), F.col("blocks")).cast("int").alias("b"), "blocks", "size", "p")
+        out = dealt.repartition(n, "g", "b").sortWithinPartitions("g", "b").mapInArrow(_round(f"{seed}|{step}"), "uid long, doc_id string, g long, size long, p double")
         out = stage(out, f"cube-{step}")
-        undecided = f"p > {EPS} AND p < 1 - {EPS}"
         done.append(out.where(f"NOT ({undecided})"))
         open_ = out.where(undecided)
-        sizes = {g: min(n, 2 * blocks[g]) for g, n in sizes.items()}
         step += 1
+    return _union(done)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -181,45 +222,51 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def planned(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
+    """rows: source, size. source, n (rows), source_size, target, g (rank): targets() as a table, for any number of sources."""
+    found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    # Ranks by code point, null last: ranges of sources, each numbered from the number of sources before it.
+    spread = stage(found.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.asc_nulls_last("source")).withColumn("part", F.spark_partition_id()), "mix-sources")
+    counts = sorted((r["part"], r["c"]) for r in spread.groupBy("part").agg(F.count("*").alias("c")).collect())
+    before = dict(zip((p for p, _ in counts), accumulate((c for _, c in counts), initial=0)))
+    offset = F.element_at(F.create_map(*[F.lit(x) for p, o in before.items() for x in (p, o)]), F.col("part")) if before else F.lit(0)
+    ranked = spread.withColumn("g", (offset + F.row_number().over(Window.partitionBy("part").orderBy(F.asc_nulls_last("source"))) - 1).cast("long"))
+    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("g") % len(weights) + 1).cast("int"))
+    ranked = stage(ranked.select("source", "n", "source_size", "g", weight.alias("w")), "mix-ranks")
+    # What is over the caps is dealt again until no source is above its own: a level that only rises, found from sums.
+    total, unit = ranked.agg(F.sum("source_size")).first()[0] or 0, -1.0
+    while True:
+        full = F.col("w") * F.lit(unit) > cap * F.col("source_size")
+        s = ranked.agg(F.sum(F.when(full, F.col("source_size"))).alias("full"), F.sum(F.when(~full, F.col("w"))).alias("w")).first()
+        level = (share * total - cap * (s["full"] or 0)) / s["w"] if s["w"] else inf
+        if level <= unit or not s["w"]:
+            break
+        unit = level
+    unit = max(unit, level)
+    return ranked.select("source", "n", "source_size", "g", F.least(F.col("w") * F.lit(unit), cap * F.col("source_size")).cast("double").alias("target"))
+
+
 def mix(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, taken, copies, uid; one row for each row of docs.
 
     A row's number (uid) is fixed by staging doc_id, source and size first."""
     rows = stage(docs.select(F.monotonically_increasing_id().alias("uid") if uid is None else F.col(uid).alias("uid"), "doc_id", "source", sizes_of().alias("size")), "mix-sizes")
-    found = rows.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    goal = targets([(r["source"], r["s"]) for r in found])
-    plan = [(k, r["source"], r["s"], goal[r["source"]], goal[r["source"]] / r["s"] if r["s"] else 0.0) for k, r in enumerate(found)]
-    spark = docs.sparkSession
-    by_source = spark.createDataFrame(plan, "g int, source string, source_size long, target double, ratio double")
-    per = F.broadcast(by_source) if len(plan) <= 100_000 else by_source
-    keyed = stage(rows.join(per.withColumnRenamed("source", "src"), F.col("source").eqNullSafe(F.col("src"))).select(
-        "uid", "doc_id", "source", "g", "size", "source_size", "target", F.floor(F.col("ratio") + EPS).cast("int").alias("whole"),
-        F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("p")), "mix-rows")
-    chosen = cube(keyed)
+    per = stage(planned(rows), "mix-plan").withColumn("ratio", F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0)))
+    # Null is a source: it's joined by a name that no other source has.
+    named = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))
+    per = per.select(named.alias("name"), "n", "g", "source_size", "target", F.floor(F.col("ratio") + EPS).cast("int").alias("whole"), F.greatest(F.lit(0.0), F.col("ratio") - F.floor(F.col("ratio") + EPS)).alias("p"))
+    keyed = stage(attach(rows.withColumn("name", named), per, ["name"], "n", rows.count()).drop("name", "n"), "mix-rows")
+    chosen = cube(keyed, block=BLOCK)
     return keyed.drop("p").join(chosen.select("uid", (F.col("p") > 0.5).cast("int").alias("more")), "uid").select(
         "doc_id", "source", "size", "source_size", "target", ((F.col("whole") + F.col("more")) * F.col("size")).cast("long").alias("taken"),
         (F.col("whole") + F.col("more")).alias("copies"), "uid")
 
 
 def take(docs: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with docs' columns. Documents of one doc_id (null is one) share
-    what is taken of them in turn: which of them it is doesn't change what the source gets only if they're equal, so
-    rows are told apart by size too."""
-    key = ["__id", "__size", "__source"]
-    name = lambda d, size: d.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "__size": size, "__source": F.coalesce("source", F.lit("\0"))})
-    found = name(stage(mix(docs), "mix"), F.col("size")).select(*key, "uid", F.col("copies").alias("__copies"))
-    order = F.row_number().over(Window.partitionBy(*key).orderBy("uid"))
-    alone = found.groupBy(*key).agg(F.count("*").alias("__n"), F.sum("__copies").cast("int").alias("__copies"))
-    rows = name(docs, sizes_of())
-    once = rows.join(alone.where("__n = 1").select(*key, "__copies"), key)
-    # Repeated rows, if any: numbered on both sides.
-    many = alone.where("__n > 1").select(*key)
-    left = rows.join(many, key, "left_semi").withColumn("__k", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("text"))))
-    right = found.join(many, key, "left_semi").withColumn("__k", order).select(*key, "__k", "__copies")
-    taken = once.unionByName(left.join(right, [*key, "__k"]).drop("__k"))
-    return taken.where("__copies > 0").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of docs as often as the mix takes them, with docs' columns; rows are told apart by a number of their own."""
+    numbered = stage(docs.withColumn("__uid", F.monotonically_increasing_id()), "mix-numbered")
+    found = mix(numbered, "__uid").where("copies > 0").select(F.col("uid").alias("__uid"), F.col("copies").alias("__copies"))
+    return numbered.join(found, "__uid").withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op9_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

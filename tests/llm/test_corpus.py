@@ -335,6 +335,28 @@ def test_targets():
     assert mixing.targets([]) == {} and mixing.targets([("a", 0)]) == {"a": 0.0}
 
 
+def test_targets_as_a_table(spark):
+    rng = random.Random(4)
+    sizes = [(None, 30), ("", 0), ("é", 500), ("z", 1), ("\U0001F642", 77), ("\uffff", 9)] + [(f"s{k}", rng.choice([0, 5, 50, 5000])) for k in range(300)]
+    rows = spark.createDataFrame([(s, n) for s, n in sizes for n in (n - n // 3, n // 3)], "source string, size long").repartition(3)
+    got = {r["source"]: r for r in mixing.planned(rows).collect()}
+    want = mixing.targets(sizes)
+    assert got.keys() == want.keys() and len(got) == len(sizes)
+    assert all(got[s]["target"] == pytest.approx(t) and got[s]["n"] == 2 and got[s]["source_size"] == dict(sizes)[s] for s, t in want.items())
+    for few in ([], [("a", 0)], [(None, 3)]):
+        assert {r["source"]: r["target"] for r in mixing.planned(spark.createDataFrame(few, "source string, size long")).collect()} == mixing.targets(few)
+
+
+def test_hot_doc_ids_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 40)
+    docs = [(None, "a b c", "s")] * 300 + [(7, "a b c", "s")] * 300 + [(k, "a b", "s") for k in range(10, 60)]
+    rows = spark.createDataFrame([(k, i, 0, 3, 0.5) for k, (i, _, _) in enumerate(docs)], "uid long, doc_id long, g long, size long, p double")
+    got = mixing.cube(rows, block=40).collect()
+    assert len(got) == len(docs) and {r["p"] for r in got} == {0.0, 1.0} and abs(sum(r["p"] for r in got) - len(docs) / 2) <= 1
+    mixed = mixing.mix(X.table(spark, docs)).collect()
+    assert len(mixed) == len(docs) and abs(sum(r["taken"] for r in mixed) - 1.5 * sum(r["size"] for r in mixed)) <= 3
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     n = 500
