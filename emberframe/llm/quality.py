@@ -79,7 +79,7 @@ def statistics(text: str | None) -> tuple[list[int], list[float]]:
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> gbt.Forest | None:
-    """At most `rows` rows of statistics come to the driver."""
+    """At most `rows` rows of statistics come to the driver. Of rows with one doc_id the smallest text is taken."""
     by = F.xxhash64(F.lit("quality"), "doc_id")
     known = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("y"))
     sample = F.broadcast(known.orderBy(by, "doc_id").limit(rows))
@@ -89,11 +89,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([statistics(t)[1] for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["y", "x"])
 
-    found = docs.join(sample, "doc_id").orderBy(by, "doc_id").limit(rows).select("y", "text").mapInArrow(stats, "y int, x array<double>").collect()
+    texts = docs.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
+    found = texts.select("y", "text").mapInArrow(stats, "y int, x array<double>").collect()
     y = np.array([r["y"] for r in found], float)
     if not len(y) or y.min() == y.max():
         return None
-    return gbt.fit(np.array([r["x"] for r in found]), y, [m for _, m in FEATURES])
+    order = sorted(range(len(y)), key=lambda k: (found[k]["x"], y[k]))  # the fit doesn't depend on the order of rows
+    return gbt.fit(np.array([found[k]["x"] for k in order]), y[order], [m for _, m in FEATURES])
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_mod, small_batches, stage, table
+from .common import crc_mod, release, small_batches, stage, table
 
 TRAIN_ROWS = 20_000
 #: A document with this score or more is predicted toxic.
 TOXIC_AT = 0.7
-#: Terms in a lexicon, at most; word beginnings of MIN_STEM to MAX_STEM letters are candidates.
-MAX_TERMS, MIN_STEM, MAX_STEM = 5000, 4, 14
+#: Word beginnings of so many letters are candidates for terms.
+MIN_STEM, MAX_STEM = 4, 14
 #: Nats of evidence that a learned term needs: its documents times -log(share of toxic documents).
 EVIDENCE = 9.0
 #: One in FOLDS sample rows fits the curve, the others give the terms.
@@ -138,13 +138,18 @@ def stems(words: set[str]) -> set[str]:
     return {w[:k] for w in words for k in range(MIN_STEM, min(len(w), MAX_STEM) + 1)}
 
 
+def evidence(toxic: int, clean: int) -> float:
+    """Nats that a toxic document without any clean one is worth."""
+    return -log(max(toxic, 1) / max(1, toxic + clean))
+
+
 def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
     """Weighted terms from word beginnings with their numbers of toxic and clean documents.
 
     A beginning is a candidate if it's rare in clean documents and its evidence reaches EVIDENCE; of a chain of
     beginnings with (nearly) the same toxic documents the longest is taken, so a term is as specific as it can be.
     """
-    base = -log(max(toxic, 1) / max(1, toxic + clean))
+    base = evidence(toxic, clean)
     good = {s: p for s, (p, n) in counts.items() if p * base >= EVIDENCE and n <= 0.01 * p}
     longer: dict[str, int] = {}
     for s, p in good.items():
@@ -153,8 +158,7 @@ def choose(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[s
     ends = {s for s, p in good.items() if longer.get(s, 0) < 0.9 * p}
     ends = {s for s in ends if not any(s[:k] in ends for k in range(MIN_STEM, len(s)))}
     weight = lambda s: log((counts[s][0] + 0.5) / (toxic + 1)) - log((counts[s][1] + 0.5) / (clean + 1))
-    best = sorted(ends, key=lambda s: (-good[s], s))[:MAX_TERMS]
-    return {s: w for s in best if (w := weight(s)) > 0}
+    return {s: w for s in sorted(ends) if (w := weight(s)) > 0}
 
 
 def logistic(x: np.ndarray, y: np.ndarray, reg: float = 0.02, steps: int = 60) -> tuple[float, float, float]:
@@ -172,13 +176,12 @@ def logistic(x: np.ndarray, y: np.ndarray, reg: float = 0.02, steps: int = 60) -
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Lexicon:
-    """docs: doc_id, text. The sample is staged; the driver gets the counts of frequent word beginnings (at
-    most 10 * MAX_TERMS rows) and two numbers for each of at most `rows` documents."""
+    """docs: doc_id, text. The sample is staged; what comes to the driver is bounded by its `rows` documents: counts of the word beginnings
+    that have evidence for EVIDENCE in it, all of them, and two numbers for each document. Of rows with one doc_id the smallest text is taken."""
     by = F.xxhash64(F.lit("toxic"), "doc_id")
     known = labels.where((F.col("toxic").isin(0, 1)) & F.col("doc_id").isNotNull() & (crc_mod("doc_id", 3) != 1))
     sample = known.groupBy("doc_id").agg(F.max("toxic").alias("y")).orderBy(by, "doc_id").limit(rows)
-    found = stage(docs.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").orderBy(by, "doc_id").limit(rows)
-                  .repartition(min(64, spark.sparkContext.defaultParallelism * 2))
+    found = stage(docs.where("text IS NOT NULL").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))
                   .select("y", "text", (F.pmod(by, F.lit(FOLDS)) == 0).alias("curve")), "toxic-sample")
     # Terms come from the other folds: on the rows that chose them, clean texts would look cleaner than they are.
     terms_from, curve_from = found.where("NOT curve").drop("curve"), found.where("curve").drop("curve")
@@ -198,9 +201,12 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = T
                 yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array([n[1][t] for t in terms], pa.int64()), pa.array([n[0][t] for t in terms], pa.int64())], ["stem", "p", "n"])
 
         counts = terms_from.mapInArrow(count, "stem string, p long, n long").groupBy("stem").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-        top = counts.where("stem = '' OR p >= 3 AND n <= 0.01 * p").orderBy(F.col("stem") != "", F.desc("p"), "stem").limit(10 * MAX_TERMS).collect()
-        seen = {r["stem"]: (r["p"], r["n"]) for r in top}
-        left, clean = seen.pop("", (0, 0))
+        counts = stage(counts, "toxic-stems")
+        left, clean = next(((r["p"], r["n"]) for r in counts.where("stem = ''").collect()), (0, 0))
+        # Every beginning that can be a candidate, and no other (see choose).
+        base = evidence(left, clean)
+        seen = {r["stem"]: (r["p"], r["n"]) for r in counts.where(f"stem <> '' AND p * {base!r}D >= {EVIDENCE} AND n <= 0.01 * p").collect()} if base else {}
+        release(counts)
         more = choose(seen, left, clean)
         if not more:
             break
