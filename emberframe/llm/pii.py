@@ -68,10 +68,16 @@ def emails(text: str) -> list[Span]:
     return out
 
 
+def small(part: str) -> bool:
+    """Whether digits, with any number of zeros before them, are at most 255."""
+    rest = part.lstrip("0")
+    return len(rest) < 3 or len(rest) == 3 and rest <= "255"
+
+
 def base_spans(text: str) -> list[Span]:
     """By start, then kind as listed."""
     out = emails(text)
-    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(len(p) < 4000 and int(p) <= 255 for p in m[0].split("."))]
+    out += [("ip", m.start(), m.end()) for m in IP.finditer(text) if all(small(p) for p in m[0].split("."))]
     for m in CARD.finditer(text):
         digits = only_digits(m[0])
         if 14 <= len(digits) <= 19 and luhn(digits):

@@ -162,6 +162,12 @@ def test_base_patterns_match_plain_regular_expressions():
         assert pii.base_spans(t) == slow_base(t), t
 
 
+def test_long_ip_parts_count_by_value():
+    zeros = "0" * 5000
+    assert pii.base_spans(f"1.2.3.{zeros}4") == [("ip", 0, 5007)] and pii.base_spans(f"1.2.3.{zeros}256") == [] == pii.base_spans("1.2.3." + "9" * 5000)
+    assert [pii.small(x) for x in ("0", "000", "255", "256", "0255", "1000", "99")] == [True, True, True, False, True, False, True]
+
+
 def test_base_patterns_are_linear():
     for t in ("a" * 200_000, "1" * 200_000, "1." * 100_000, "a@" * 100_000, "+1" * 50_000, "+1" + " " * 100_000, "a.b" * 60_000 + "@"):
         pii.base_spans(t)
