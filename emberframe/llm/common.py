@@ -44,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _path(spark: SparkSession, path: str):  # noqa: ANN202
+def fs_path(spark: SparkSession, path: str):  # noqa: ANN202
     """(the file system of a path, the path), as Spark sees them."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
@@ -56,7 +56,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, p = _path(spark, path)
+    fs, p = fs_path(spark, path)
     fs.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged = path
@@ -65,7 +65,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 def release(df: DataFrame) -> None:
     """Remove a staged table that nothing reads any more."""
-    fs, p = _path(df.sparkSession, df._staged)
+    fs, p = fs_path(df.sparkSession, df._staged)
     fs.delete(p, True)
 
 

@@ -1,34 +1,40 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of SLOTS virtual slots; bytes are summed for each slot; a versioned table
-maps slots to shards. Version 0 deals the slots round robin. Rebalancing edits it: slots move from the
-fullest shards to the emptiest until no move helps, and only moved slots change. The map has SLOTS rows
+maps slots to shards. A map that has no version yet starts by dealing the slots round robin. Rebalancing edits the latest version: slots move from the
+fullest shards to the emptiest until no move helps, only moved slots change, and the edit is appended as the next version; without a move there's no new version. The map has SLOTS rows
 at any input size, so it is planned on the driver and joined as a literal.
 
+A slot can only move as a whole, so none may hold much of a shard: the rows of a slot with more than 1 / SPLIT of a shard (equal rows,
+rows without doc_id) are dealt over all slots by row number before bytes are summed again.
+
 All work on records is native: scans, partial aggregation and one window for positions.
 
-Edge cases: a null text has 16 bytes (the fixed part) and the checksum of the empty text; null and
-repeated doc_ids hash like any value; identical rows get places of their own; an empty table gives no
-rows; other columns of the input are not read.
+Edge cases: a null text has 16 bytes (the fixed part) and the checksum of the empty text; rows hash by doc_id, length and checksum, so
+rows with one doc_id part ways if their texts differ, and identical rows get places of their own; a single record larger than a shard's share
+stays whole; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import heapq
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stage, table
+from .common import fs_path, shared_dir, stage, table
 
 SHARDS = 40
 SLOTS = 16384
 OVERHEAD = 16
+#: A slot with more than 1 / SPLIT of a shard's bytes is dealt anew.
+SPLIT = 20
 
 
-def slot_of(doc_id: str = "doc_id", slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(F.lit("slot"), F.col(doc_id)), F.lit(slots)).cast("int")
+def slot_of(*key: str, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slot"), *key), F.lit(slots)).cast("int")
 
 
 def initial_map(slots: int, shards: int) -> list[int]:
@@ -87,38 +93,67 @@ def slot_bytes(docs: DataFrame, slots: int = SLOTS) -> list[int]:
     return sizes
 
 
-def store_map(spark: SparkSession, versions: list[list[int]], path: str) -> DataFrame:
-    """The versioned map as a table (version, vslot, shard), written to path."""
-    n = len(versions[0])
-    flat = ",".join(str(x) for v in versions for x in v)
-    rows = spark.range(n * len(versions)).select(
-        (F.col("id") / n).cast("int").alias("version"), (F.col("id") % n).cast("int").alias("vslot"),
-        F.split(F.lit(flat), ",")[F.col("id").cast("int")].cast("int").alias("shard"))
-    rows.coalesce(1).write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def latest_map(spark: SparkSession, path: str) -> tuple[int, list[int]] | None:
+    """(version, shard of every slot) of the newest version stored at path; None if there's none."""
+    fs, p = fs_path(spark, path)
+    if not fs.exists(p):
+        return None
+    known = spark.read.schema("version int, vslot int, shard int").parquet(path)
+    version = known.agg(F.max("version")).first()[0]
+    if version is None:
+        return None
+    return version, [r["shard"] for r in known.where(F.col("version") == version).select("vslot", "shard").orderBy("vslot").collect()]
+
+
+def append_map(spark: SparkSession, version: int, shards: list[int], path: str) -> None:
+    """Add a version to the table (version, vslot, shard) at path; earlier ones stay."""
+    flat = ",".join(map(str, shards))
+    spark.range(0, len(shards), numPartitions=1).select(
+        F.lit(version).alias("version"), F.col("id").cast("int").alias("vslot"), F.split(F.lit(flat), ",")[F.col("id").cast("int")].cast("int").alias("shard")).write.mode("append").parquet(path)
+
+
+def next_map(spark: SparkSession, sizes: list[int], shards: int, path: str) -> tuple[int, list[int]]:
+    """Load the newest version, edit it for these slot sizes, and append the edit if it moves a slot. Maps of another number of slots are an error;
+    slots on shards that there are no longer start from the round robin."""
+    found = latest_map(spark, path)
+    if found is None:
+        found = 0, initial_map(len(sizes), shards)
+        append_map(spark, *found, path)
+    version, now = found
+    if len(now) != len(sizes):
+        raise ValueError(f"the map at {path} has {len(now)} slots, not {len(sizes)}")
+    new = rebalance([s if s < shards else k % shards for k, s in enumerate(now)], sizes, shards)
+    if new != now:
+        version += 1
+        append_map(spark, version, new, path)
+    return version, new
 
 
 def shard(spark: SparkSession, docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, path: str | None = None) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard, vslot, map_version."""
+    """doc_id, size, text_crc32, law, shard, slot (place in the shard, gapless from 0), grown_shard, vslot, map_version. path: of the map's table, which outlives the session."""
     text = F.coalesce(F.col("text"), F.lit(""))
     base = stage(docs.select(
-        "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        slot_of(slots=slots).alias("vslot")), "shard-base")
+        "doc_id", (F.octet_length(text) + OVERHEAD).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.monotonically_increasing_id().alias("uid")).withColumn(
+        "vslot", slot_of("doc_id", "text_crc32", "size", slots=slots)), "shard-base")
     sizes = slot_bytes(base, slots)
-    first = initial_map(slots, shards)
-    versions = [first, rebalance(first, sizes, shards)]
-    kept = store_map(spark, versions, path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
-    now = kept.where(F.col("version") == len(versions) - 1).select("vslot", "shard")
+    hot = [k for k, n in enumerate(sizes) if n * shards * SPLIT > sum(sizes)]  # at most shards * SPLIT of them
+    if hot:
+        base = base.withColumn("vslot", F.when(F.col("vslot").isin(hot), slot_of("doc_id", "text_crc32", "size", "uid", slots=slots)).otherwise(F.col("vslot")))
+        sizes = slot_bytes(base, slots)
+    version, new = next_map(spark, sizes, shards, path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
+    flat = ",".join(map(str, new))
+    shard_of = lambda v: F.split(F.lit(flat), ",")[F.col(v)].cast("int")
     # Rows before a slot within its shard: a running sum over the map's fixed number of slots, not over records.
-    counts = base.groupBy("vslot").agg(F.count("*").alias("n")).join(F.broadcast(now), "vslot")
+    counts = base.groupBy("vslot").agg(F.count("*").alias("n")).withColumn("shard", shard_of("vslot"))
     ahead = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("vslot", "shard", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size"))
+    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "size", "uid"))
     return base.withColumn("place", place).join(F.broadcast(offsets), "vslot").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
         (F.col("before") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        "vslot", F.lit(len(versions) - 1).alias("map_version"))
+        "vslot", F.lit(version).alias("map_version"))
 
 
 def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard(spark, table(spark, sf_dir, "documents"))
+    """The map of each folder of tables is kept beside the session's other tables, and edited by the next run on that folder."""
+    return shard(spark, table(spark, sf_dir, "documents"), path=f"{shared_dir(spark)}/slot-map-{zlib.crc32(sf_dir.encode()):08x}")

@@ -47,6 +47,33 @@ def test_sharding(spark, tmp_path):
     assert sharding.shard(spark, X.empty(spark)).count() == 0
 
 
+def test_the_stored_map_is_edited(spark, tmp_path):
+    path, rng = str(tmp_path / "map"), random.Random(5)
+    first = [(k, "x" * rng.randint(1, 400), "s") for k in range(3000)]
+    run = lambda rows: sharding.shard(spark, X.table(spark, rows), path=path).collect()
+    maps = lambda: {v: [r["shard"] for r in spark.read.parquet(path).where(f"version = {v}").orderBy("vslot").collect()] for v in {r[0] for r in spark.read.parquet(path).select("version").distinct().collect()}}
+    run(first)
+    one = maps()
+    assert {r["map_version"] for r in run(first)} == {max(one)} and maps() == one  # the same rows move nothing
+    got = run(first + [(5000 + k, "y" * 3000, "s") for k in range(30)])
+    two = maps()
+    assert {r["map_version"] for r in got} == {max(one) + 1} == {max(two)} and all(two[v] == one[v] for v in one)
+    assert 0 < sum(a != b for a, b in zip(two[max(one)], two[max(two)], strict=True)) < 400
+    with pytest.raises(ValueError, match="slots"):
+        sharding.shard(spark, X.table(spark, first[:3]), slots=64, path=path)
+
+
+def test_hot_and_missing_doc_ids_are_spread(spark):
+    docs = [(None, "a" * 84, "s")] * 1500 + [(7, "b" * 84, "s")] * 1500 + [(k, "c" * 84, "s") for k in range(10, 1010)]
+    total = collections.Counter()
+    rows = sharding.shard(spark, X.table(spark, docs)).collect()
+    for r in rows:
+        total[r["shard"]] += r["size"]
+    assert len(rows) == 4000 and len(total) == 40 and max(total.values()) - min(total.values()) <= 2 * 100
+    for s in total:
+        assert sorted(r["slot"] for r in rows if r["shard"] == s) == list(range(total[s] // 100))
+
+
 @needs
 def test_shards_are_near_equal(spark):
     rows = sharding.op2_virtual_slots(spark, X.SF).collect()
