@@ -277,45 +277,104 @@ def test_components_of_long_chains(spark):
 
 
 def slow_ends(data):
+    h = [sum(int(cdc.GEAR[data[k - j]]) << j for j in range(min(cdc.WINDOW, k + 1))) & 0xFFFFFFFF for k in range(len(data))]
+    least = lambda x: min(x, default=2**32 - 1)
+    before = [least(h[max(0, k - cdc.REACH):k]) for k in range(len(h))]
+    behind = [least(h[k + 1:k + 1 + cdc.REACH]) for k in range(len(h))]
+    ends = sorted({k + 1 for k in range(len(h)) if before[k] > h[k] <= behind[k]} | {len(data)})
+    again = [k + 1 for k in range(len(h)) if before[k] == h[k] <= behind[k]]
     out, start = [], 0
-    for k in range(len(data)):
-        h = sum(int(cdc.GEAR[data[k - j]]) << j for j in range(min(cdc.WINDOW, k + 1))) & 0xFFFFFFFF
-        if not h & ((1 << cdc.MASK_BITS) - 1) << cdc.WINDOW - 1 or k == len(data) - 1:
-            while k + 1 - start > cdc.MOST:
-                start += cdc.MOST
-                out.append(start)
-            start = k + 1
-            out.append(start)
-    return out
+    for e in ends:
+        if e - start > 4 * cdc.REACH:
+            at = start + 1
+            for k in again:
+                if at <= k < e:
+                    out.append(k)
+                    at = k + cdc.GAP
+        out.append(e)
+        start = e
+    full, start = [], 0
+    for e in out:
+        full += [*range(start + cdc.MOST, e, cdc.MOST), e]
+        start = e
+    return full
 
 
 def test_boundaries_match_the_rolling_hash_and_resist_shifts():
     rng = random.Random(2)
     data = X.words(rng, 400).encode()
-    assert cdc.boundaries(data).tolist() == slow_ends(data)
+    for d in (data, data + b"of. " * 300 + data[:99], b"x" * 3000, b"a", b"ab" * 9 + data[:300] + b"z" * 700):
+        assert cdc.boundaries(d).tolist() == slow_ends(d)
     assert cdc.boundaries(b"a").tolist() == [1]
     assert max(np.diff(cdc.boundaries(b"x" * 3000), prepend=0)) <= cdc.MOST
     moved = b"inserted words " + data
     a, b = set(cdc.boundaries(data).tolist()), {x - 15 for x in cdc.boundaries(moved).tolist()}
     assert len(a & b) >= len(a) - 1
+    # a phrase repeated over and over is cut in step, whatever goes before it
+    one, two = (x.encode() + b"of. this " * 200 for x in (X.words(rng, 9), X.words(rng, 31)))
+    parts = [collections.Counter(cdc.cut(x)[2]) for x in (one, two)]
+    assert sum((parts[0] & parts[1]).values()) >= 10
+
+
+def test_chunks_cover_a_text():
+    for text in (b" a  b\n\tc ", b"x", b"  ", "ü  ö\r\nword".encode() * 50):
+        starts, words, parts = cdc.cut(text)
+        assert starts[0] == 0 and (np.diff(starts) > 0).all() and b"".join(parts) == re.sub(rb"[\x20\x09-\x0D]+", b" ", text)
+        assert words.sum() == len(text.split())
+
+
+def without_repeats(texts, spans):
+    """Texts after the spans that aren't kept are taken out."""
+    out = {}
+    for i, t in texts.items():
+        gone = sorted((r["start"], r["stop"]) for r in spans if r["doc_id"] == i and not r["kept"])
+        at, left = 0, []
+        for a, b in gone:
+            left.append(t[at:a])
+            at = b
+        out[i] = [*left, t[at:]]
+    return out
 
 
 def test_repeated_passages(spark):
     rng = random.Random(6)
     passage = X.words(rng, 70)
     docs = [(k, X.words(rng, 50) + (" " + passage if k in (2, 5, 7) else "") + " " + X.words(rng, 50), "s") for k in range(9)]
-    docs += [(20, None, "s"), (21, "", "s"), (30, docs[0][1], "s"), (22, (X.words(rng, 12) + " ") * 30, "s")]
-    got = cdc.repeated_spans(X.table(spark, docs)).collect()
-    assert {r["doc_id"] for r in got} == {2, 5, 7, 0, 30}  # what repeats in one document only isn't reported
-    text = {i: (t or "").encode() for i, t, _ in docs}
+    docs += [(20, None, "s"), (21, "", "s"), (30, docs[0][1].replace(" ", " \n "), "s"), (22, (X.words(rng, 12) + " ") * 30, "s"), (23, " ".join([X.words(rng, 20), (long := X.words(rng, 60)), X.words(rng, 20), long]), "s")]
+    got = cdc.repeated_spans(X.table(spark, docs).coalesce(1)).collect()
+    assert {r["doc_id"] for r in got} == {2, 5, 7, 0, 30, 22, 23}
+    text = {i: re.sub(rb"\s+", b" ", (t or "").encode()) for i, t, _ in docs}
     for r in got:
-        span = text[r["doc_id"]][r["start"]:r["stop"]]
-        assert sum(span in t for t in text.values()) >= 2 or r["doc_id"] in (2, 5, 7) and span[20:-20] in passage.encode()
-        assert r["keep_id"] == (2 if r["doc_id"] in (2, 5, 7) else 0)
-        assert r["kept"] == (r["doc_id"] in (0, 2))
+        span = re.sub(rb"\s+", b" ", (dict((i, t) for i, t, _ in docs)[r["doc_id"]] or "").encode()[r["start"]:r["stop"]])
+        assert sum(t.count(span) for t in text.values()) >= 2
+        assert r["keep_id"] == {5: 2, 7: 2, 30: 0}.get(r["doc_id"], r["doc_id"])
+        assert r["run_words"] >= cdc.SPAN_WORDS and r["run_start"] <= r["start"] < r["stop"] <= r["run_stop"]
+    assert {r["doc_id"] for r in got if r["kept"]} == {0, 2, 22, 23} and {r["doc_id"] for r in got if not r["kept"]} == {5, 7, 30, 22, 23}
     assert cdc.repeated_spans(X.empty(spark)).count() == 0
 
 
+def test_no_passage_is_lost(spark):
+    """Documents 1: Y, 2: X Y, 4: X Y, and more: of every different chunk one copy is left, and nothing else goes."""
+    rng = random.Random(9)
+    x, y = X.words(rng, 60), X.words(rng, 120)
+    docs = [(1, y, "s"), (2, x + " " + y, "s"), (4, x + " " + y, "s"), (None, x, "s"), (None, x, "s"), (7, y, "s"), (7, y, "s")]
+    got = cdc.repeated_spans(X.table(spark, docs).coalesce(1)).collect()
+    assert any(r["doc_id"] == 2 and r["kept"] and r["n_words"] >= 50 for r in got)
+    assert {(r["kept"], r["keep_id"]) for r in got if r["doc_id"] == 4} == {(False, 1), (False, 2)}
+    assert [(r["kept"], r["keep_id"], r["start"], r["stop"]) for r in got if r["doc_id"] == 7] == [(False, 1, 0, len(y.encode()))] * 2
+    many = [(k, " ".join(rng.choice([x, y, X.words(rng, 40), x[:200], y[100:400]]) for _ in range(rng.randint(1, 5))), "s") for k in range(40)]
+    spans = cdc.repeated_spans(X.table(spark, many).coalesce(1), 0).collect()
+    texts = {i: t.encode() for i, t, _ in many}
+    every, left = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        starts, _, parts = cdc.cut(t)
+        every.update(parts)
+        gone = [(r["start"], r["stop"]) for r in spans if r["doc_id"] == i and not r["kept"]]
+        left.update(p for s, p in zip(starts.tolist(), parts, strict=True) if not any(a <= s < b for a, b in gone))
+    assert left == dict.fromkeys(every, 1)
+    assert sum(len(p) for parts in without_repeats(texts, spans).values() for p in parts) < sum(map(len, texts.values())) / 2
+
+
 @needs
 def test_spans_cover_shared_windows(spark):
     docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{X.SF}/documents.parquet").collect()}
