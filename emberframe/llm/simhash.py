@@ -1,14 +1,17 @@
 """SimHash near-dedup with pivot distance tables.
 
 Texts become 64-bit fingerprints; equal fingerprints are one node from then on. For every distinct fingerprint
-the Hamming distances to PIVOTS fixed reference fingerprints are computed once: its row of the pivot table. By
+the Hamming distances to many fixed reference fingerprints are computed once: its row of the pivot table. By
 the triangle inequality two fingerprints that differ in at most REACH bits have rows that differ by at most
 REACH in every coordinate; pairs with a larger difference in any coordinate are discarded, and only survivors are
 verified bit by bit. No set of pairs is ever a table: pairs are looked at inside blocks, coordinate by coordinate,
 and a block gives the links of a spanning forest.
 
-Blocks: of four 16-bit parts, two at least are equal if at most two bits differ, so each of the six pairs of parts
-is a key (six rows a fingerprint). A key with more than BLOCK distinct fingerprints (a dense cloud of near copies)
+Blocks come from the table as well. Its first references are zero and 32 fingerprints that have two bits each, no bit twice. The distance to such a
+reference and that to zero tell how many of the two bits are set, so 33 distances give 32 counts (0 to 2) that can differ for near fingerprints in two places at most. They
+are read in four groups of eight: two groups at least are equal, so each of the six pairs of groups
+is a key (six rows a fingerprint; unlike fingerprints share a key once in six million). The other PIVOTS references are random; differences in them discard what a block has in
+common by chance. A key with more than BLOCK distinct fingerprints (a dense cloud of near copies)
 isn't compared pair by pair: its fingerprints go the exact way around, by meeting points: two fingerprints differ
 in at most two bits exactly if some fingerprint is within one bit of both, so each is listed under the 65
 fingerprints within one bit of it, and all that meet at one point (65 at most) are linked.
@@ -33,13 +36,15 @@ from .graph import components
 
 SEED, REACH = 42, 2
 SHINGLE = 3
-#: Reference fingerprints, and distinct fingerprints of a block that are compared pair by pair, at most.
+#: Random reference fingerprints, and distinct fingerprints of a block that are compared pair by pair, at most.
 PIVOTS, BLOCK = 16, 1024
-PARTS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
+#: Reference fingerprints of two bits each, as signed longs.
+TWOS = [3 << 2 * j if j < 31 else -(1 << 62) for j in range(32)]
+GROUPS = [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
 
 
 def pivots(n: int = PIVOTS) -> list[int]:
-    """Fixed reference fingerprints, as signed longs."""
+    """The random reference fingerprints, as signed longs."""
     return [int(x) for x in np.random.default_rng(64).integers(-2**63, 2**63 - 1, n)]
 
 
@@ -148,8 +153,14 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(a, b)
 
 
-def part(k: int) -> Column:
-    return F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
+def distance(reference: int) -> Column:
+    return F.bit_count(F.col("fp").bitwiseXOR(F.lit(reference)))
+
+
+def group(k: int) -> Column:
+    """Eight of the counts as one number: each from the distance to zero and the distance to a reference of two bits."""
+    counts = [F.shiftright(distance(0) + 2 - distance(TWOS[j]), 1) for j in range(8 * k, 8 * k + 8)]
+    return sum((c * 3**i for i, c in enumerate(counts)), F.lit(0))
 
 
 def meeting_links(fps: DataFrame) -> DataFrame:
@@ -162,9 +173,9 @@ def meeting_links(fps: DataFrame) -> DataFrame:
 def links(distinct: DataFrame, total: int) -> DataFrame:
     """distinct: fp, one row each, `total` of them. Links (a, b) that connect all within REACH bits, and only those."""
     refs = pivots()
-    pivot_row = F.unhex(F.concat(*[F.lpad(F.hex(F.bit_count(F.col("fp").bitwiseXOR(F.lit(p)))), 2, "0") for p in refs]))
-    tabled = stage(distinct.select("fp", pivot_row.alias("pivots")), "pivot-table")
-    keys = F.array(*[F.lit(k << 32) + F.shiftleft(part(i), 16) + part(j) for k, (i, j) in enumerate(PARTS)])
+    pivot_row = F.unhex(F.concat(*[F.lpad(F.hex(distance(p)), 2, "0") for p in refs]))
+    tabled = stage(distinct.select("fp", pivot_row.alias("pivots"), *[group(k).alias(f"group{k}") for k in range(4)]), "pivot-table")
+    keys = F.array(*[F.lit(k << 32) + F.col(f"group{i}") * 3**8 + F.col(f"group{j}") for k, (i, j) in enumerate(GROUPS)])
     keyed = tabled.select(F.explode(keys).alias("key"), "fp", "pivots")
     # Blocks with a hundredth of a percent of all rows or more, HOT at most: known before rows are dealt, so that none meets in a task.
     hot = F.broadcast(keyed.groupBy("key").agg(F.count("*").alias("n")).where((F.col("n") > BLOCK) & (F.col("n") * HOT >= 6 * total)).select("key"))

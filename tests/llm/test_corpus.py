@@ -190,6 +190,26 @@ def test_links_connect_exactly_what_is_near(spark, monkeypatch, most):
     assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
 
 
+def test_near_fingerprints_share_a_key_of_distances(spark):
+    rng = random.Random(12)
+    data = []
+    for k in range(400):
+        x = rng.getrandbits(64)
+        for bits in (0, 1, 2):
+            y = x
+            for b in rng.sample(range(64), bits):
+                y ^= 1 << b
+            data.append((k, y - (1 << 64) if y >> 63 else y))
+    rows = spark.createDataFrame(data, "k int, fp long").select("k", "fp", *[simhash.group(g).alias(f"g{g}") for g in range(4)]).collect()
+    of = collections.defaultdict(list)
+    for r in rows:
+        of[r["k"]].append([r[f"g{g}"] for g in range(4)])
+        u = r["fp"] & (1 << 64) - 1
+        assert [r[f"g{g}"] for g in range(4)] == [sum((u >> 2 * j & 3).bit_count() * 3 ** (j - 8 * g) for j in range(8 * g, 8 * g + 8)) for g in range(4)]
+    for a, b, c in of.values():
+        assert sum(x == y for x, y in zip(a, b)) >= 2 and sum(x == y for x, y in zip(a, c)) >= 2
+
+
 def test_pivot_filter_loses_nothing():
     values = np.array(cloud(200, 9), np.uint64)
     refs = np.array(simhash.pivots(), np.int64).view(np.uint64)
