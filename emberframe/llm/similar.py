@@ -120,16 +120,22 @@ def exact_links(sets: list[np.ndarray], wide: np.ndarray) -> list[tuple[int, int
     return out
 
 
-def verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Links (a, b) of similar nodes within the components that candidates make (node, root). Components of more than PART members are dealt
-    in parts, and each two parts meet in a group of their own."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, width: int) -> DataFrame:
+    """Links (a, b) of similar nodes within the components that candidates make (node, root); texts: __rid, text. Only candidates' sets of shingles
+    are made here. Components of more than PART members are dealt in parts, and each two parts meet in a group of their own."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = roots.groupBy("root").agg(F.count("*").alias("m"))
     placed = attach(roots, sizes, ["root"], "m", roots.count()).withColumn("parts", F.ceil(F.col("m") / PART).cast("int"))
     own = F.pmod(F.xxhash64("node"), "parts").cast("int")
     others = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda j: j != own), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
-    members = rows.select("rid", "wide", "shingles").join(placed.join(nodes.select("node", "rid"), "node"), "rid")
+    found = texts.select(F.col("__rid").alias("rid"), F.col("text").cast("binary").alias("text")).join(placed.join(nodes.select("node", "rid", "wide"), "node"), "rid")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array([shingles(t, width).tobytes() for t in b.column(0).to_pylist()], pa.binary())], [*b.schema.names[1:], "shingles"])
+
+    members = found.select("text", "root", "node", "parts", "wide").mapInArrow(sets, "root long, node long, parts int, wide binary, shingles binary")
     met = members.withColumn("at", F.explode(F.when(F.col("parts") == 1, alone).otherwise(others))).select("root", "at.i", "at.j", "node", "wide", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,35 +235,39 @@ def linked(nodes: DataFrame, total: int) -> DataFrame:
     return found.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def fingerprinted(docs: DataFrame, width: int = SHINGLE, rid: str | None = None) -> DataFrame:
-    """rid (of the row: column `rid` of docs, or a new number), doc_id, node (hash of the wide fingerprint), wide, shingles (their hashes, sorted); staged."""
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """docs with __rid, a row's number; staged, so that the numbers hold."""
+    return stage(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-rows")
+
+
+def fingerprinted(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """docs: numbered. rid, doc_id, node (hash of the wide fingerprint), wide; staged."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingles(t, width) for t in b.column(2).to_pylist()]
-            wide = [wide_of(h).tobytes() for h in sets]
+            wide = [wide_fingerprint(t, width).tobytes() for t in b.column(2).to_pylist()]
             node = np.array([int.from_bytes(xxh64_digest(w), "big", signed=True) for w in wide], np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(wide, pa.binary()), pa.array([h.tobytes() for h in sets], pa.binary())], ["rid", "doc_id", "node", "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node), pa.array(wide, pa.binary())], ["rid", "doc_id", "node", "wide"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    rows = docs.select(F.col(rid) if rid else F.monotonically_increasing_id().alias("rid"), "doc_id", F.col("text").cast("binary").alias("text"))
-    return stage(rows.mapInArrow(run, f"rid long, doc_id {kind}, node long, wide binary, shingles binary"), "wide-fingerprints")
+    rows = docs.select(F.col("__rid"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return stage(rows.mapInArrow(run, f"rid long, doc_id {kind}, node long, wide binary"), "wide-fingerprints")
 
 
-def rooted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of fingerprinted rows: (nodes: node, n, first (the smallest of its rows: no doc_id last, doc_id, rid), rid, wide), (roots: node, root of similar nodes)."""
+def rooted(docs: DataFrame, width: int = SHINGLE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of numbered rows: (rows: rid, doc_id, node), (nodes: node, n, first (the smallest of its rows: no doc_id last, doc_id, rid), rid, wide), (roots: node, root of similar nodes)."""
+    rows = fingerprinted(docs, width)
     order = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     nodes = rows.groupBy("node").agg(F.count("*").alias("n"), order.alias("first"), F.first("wide").alias("wide"))
     nodes = stage(nodes.withColumn("rid", F.col("first.rid")), "wide-nodes")
     near = stage(components(linked(nodes, nodes.count())), "candidate-roots")
-    return nodes, stage(components(verified(rows, nodes, near)), "similar-roots")
+    return rows.select("rid", "doc_id", "node"), nodes, stage(components(verified(docs, nodes, near, width)), "similar-roots")
 
 
 def groups(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, node, group_id (smallest doc_id that similar texts lead to, itself included; null if none has one)."""
-    rows = fingerprinted(docs, width)
-    nodes, roots = rooted(rows)
+    rows, nodes, roots = rooted(numbered_rows(docs), width)
     known = nodes.select("node", "n", F.col("first.doc_id").alias("first_id"))
     smallest = known.join(roots, "node").groupBy("root").agg(F.min("first_id").alias("group_id"), F.count("*").alias("m"))
     of_linked = attach(roots, smallest, ["root"], "m", roots.count()).select("node", "group_id")
@@ -270,8 +280,8 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     Rows are told apart by a number of their own, so different texts with one doc_id are judged one by one; a row without a
     doc_id stays only if none of its group has one; of equal doc_ids one row stays."""
-    numbered = stage(docs.withColumn("__rid", F.monotonically_increasing_id()), "near-rows")
-    nodes, roots = rooted(fingerprinted(numbered, width, "__rid"))
+    numbered = numbered_rows(docs)
+    _, nodes, roots = rooted(numbered, width)
     of_linked = nodes.select("node", "first").join(roots, "node").groupBy("root").agg(F.min("first").alias("first")).select("first.rid")
     alone = nodes.select("node", "rid").join(roots.select("node"), "node", "left_anti").select("rid")
     kept = of_linked.unionByName(alone).withColumnRenamed("rid", "__rid")
