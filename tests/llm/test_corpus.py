@@ -434,6 +434,58 @@ def test_copies_of_a_page_make_no_template(spark):
     assert html_text.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+SOUP = ('<html><body><div class="k1"><span>Site name of the house</span><div class="k2"><a href=/>One long way</a> <a href=/b>and another way</a></div></div><div class="k3"><div class="q">{ad}</div>'
+        '<div class="x7"><h2>{title}</h2><p>{a} <i class="share">press</i> {b}</p><p>{c}</p><p>Always the same words of the house at the end of it</p></div></div><div class="k9">{foot} someone in the house</div></body></html>')
+
+
+def test_template_finds_the_article_without_any_names(spark):
+    """Pages of unnamed boxes: only the host's other pages tell which of them is the article."""
+    rng = random.Random(3)
+    rows, want = [], {}
+    for k in range(12):
+        x = dict(ad=X.words(rng, 4), title=X.words(rng, 5), a=X.words(rng, 60), b=X.words(rng, 10), c=X.words(rng, 50), foot=X.words(rng, 3))
+        rows.append((k, f"http://soup.example/{k}", SOUP.format(**x)))
+        want[k] = f"{x['title']}\n{x['a']} {x['b']}\n{x['c']}"
+    rows.append((50, "http://alone.example/", rows[0][2]))
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(pages).collect()}
+    assert {k: got[k] for k in want} == want
+    assert got[50] != want[0]  # without a template the same page keeps what it has no name for
+    found = html_text.templates(pages.withColumn("host", F.regexp_extract("url", "//([^/]+)", 1)))
+    assert found.count() == 1
+
+
+def test_classes_match_brute_force(spark):
+    """Valid tokens of a host by their occurrence vectors, from a plain table of counts."""
+    rng = random.Random(3)
+    rows = [(k, "http://a.example/", f"<html><body><ul>{'<li>x' * rng.randint(1, 4)}</ul><p>{X.words(rng, 4)}</p>{'<hr>' if k != 3 else ''}<b>always here</b><em>and here</em></body></html>") for k in range(14)]
+    pages = spark.createDataFrame(rows, "page_id bigint, host string, html string")
+    keys: dict = {}
+    per = [{t: (n, place) for t, n, place in html_text.tokens(h, keys)} for _, _, h in rows]
+    vectors = {t: tuple(p.get(t, (0, 0))[0] for p in per) for t in set().union(*per)}
+    common = {t: v for t, v in vectors.items() if sum(x > 0 for x in v) >= html_text.SUPPORT * len(rows)}
+    tags = {t for p in per for t, (_, place) in p.items() if place % 2 == 0}
+    held = {t for t, v in common.items() if max(v) == 1 and t in tags}
+    classes = collections.defaultdict(set)
+    for t, v in common.items():
+        classes["root" if t in held else v].add(t)
+    valid = set().union(*[c for c in classes.values() if len(c) > 1])
+    got = html_text.templates(pages).collect()
+    unsigned = lambda ts: {t & (1 << 64) - 1 for t in ts}
+    assert len(got) == 1 and unsigned(got[0]["held"]) == held and unsigned(got[0]["fixed"]) == valid
+
+
+def test_hosts_of_exactly_five_pages_have_templates(spark):
+    rows = [(f"http://h{h}.example/", f"<html><body><p>t{h} {k}</p></body></html>") for h in range(60) for k in range(5)]
+    pages = spark.createDataFrame(rows, "host string, html string")
+    assert html_text.templates(pages).count() == 60
+
+
+def test_inline_elements_and_names():
+    assert html_text.main_text('<p>Hello <span class="share">x</span> world</p>') == "Hello world"
+    assert html_text.main_text('<div class="related-work"><p>Kept</p></div><div class="cookie-bar">no</div><div class="relatedPosts">no</div>') == "Kept"
+
+
 def test_targets():
     assert mixing.targets([("b", 100), ("a", 100), (None, 100)]) == {"a": pytest.approx(200), "b": pytest.approx(450 / 6 * 1 + 25 / 3), None: pytest.approx(450 / 6 * 2 + 50 / 3)}
     got = mixing.targets([(f"s{k}", 10 + 7 * k % 50) for k in range(20)])
