@@ -49,6 +49,8 @@ LITERAL = "\ud800"
 STOP = "\ud801"
 #: Bytes of lattices that a worker remembers, characters of the texts that are drawn together (one text at least), and of units that are built together.
 MOST_BYTES, MOST_CHARS, MOST_NEW = 120_000_000, 400_000, 60_000
+#: Units that the library encodes in one text.
+MOST_UNITS = 100
 UNIT = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
 
 
@@ -96,19 +98,24 @@ class Vocabulary:
         self.edge = np.array([e for e, _ in edges], np.int64)
         self.child = np.array([k for _, k in edges], np.int64)
         self.ends = np.array([self.ids.get(x, -1) for x in nodes], np.int64)
+        self.root = np.zeros(self.n_letters, np.int64)  # children of the root by letter; 0: none
+        n = int(np.searchsorted(self.edge, self.n_letters))
+        self.root[self.edge[:n]] = self.child[:n]
 
     def matches(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """(start, piece) of every piece at every place: all places go down the trie together, a letter at a time."""
         letter = self.letter[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
         letter = np.append(letter, 0)
-        at = np.flatnonzero(letter)
-        node = np.zeros(len(at), np.int64)
+        node = self.root[letter]
+        at = np.flatnonzero(node)
+        node = node[at]
         starts, found, depth = [], [], 0
         while len(at):
-            key = node * self.n_letters + letter[at + depth]
-            e = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
-            ok = self.edge[e] == key
-            at, node = at[ok], self.child[e[ok]]
+            if depth:
+                key = node * self.n_letters + letter[at + depth]
+                e = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+                ok = np.flatnonzero(self.edge[e] == key)
+                at, node = at[ok], self.child[e[ok]]
             piece = self.ends[node]
             whole = piece >= 0
             starts.append(at[whole])
@@ -209,7 +216,10 @@ class Lattice:
         """Edges of a node are in order of length, longest first. `text` has all new units, a stop after each: its places are the nodes."""
         v = self.vocab
         # Units are encoded together, a line end before each, behind which a unit is encoded as it stands. The first piece is the space before all.
-        own = np.array(v.sp.encode("".join(["\n" + u for u in new if u != "\n"]).replace(LITERAL, SPACE).replace(SPACE, " ")), np.int32)[1:]
+        # The library takes less time a character the shorter a text is: a few hundred units go at a time.
+        lines = [("\n" + u).replace(LITERAL, SPACE).replace(SPACE, " ") for u in new if u != "\n"]
+        parts = [v.sp.encode("".join(lines[k:k + MOST_UNITS])) for k in range(0, len(lines), MOST_UNITS)]
+        own = np.concatenate([np.empty(0, np.int32), *(np.array(x[1:], np.int32) for x in parts)])
         line = own == v.line
         size = np.ones(len(new), np.int64)
         size[[k for k, u in enumerate(new) if u != "\n"]] = np.diff(np.append(np.flatnonzero(line), len(own))) - 1
@@ -333,13 +343,13 @@ class Lattice:
         found: list[list] = [[] for _ in units]
         # A set: (-bound, tie, its parent's path (edges, their units, log probabilities), edge that it leaves it at, edges excluded there, log probability before).
         agenda: list[list[tuple]] = []
-        for s in seeds:
-            g = -log(-log(uniform(s[None], np.zeros(1))[0]))
-            agenda.append([(-g, 0, None, 0, frozenset(), 0.0)])
+        for x in uniform(seeds, np.zeros(len(seeds))).tolist():
+            agenda.append([(log(-log(x)), 0, None, 0, frozenset(), 0.0)])
         ties = 0
         for turn in range(k):
             jobs = []  # (text, bound, beginning with its units and log probabilities, edge that it leaves at, excluded there, log probability before, first unit to draw, node in it or -1, mass of the edges not taken)
             stream = mix(seeds + np.uint64(2 * turn + 1))
+            splits, picks = mix(stream + np.uint64(7)), uniform(stream, np.full(len(stream), 1 << 40))
             for d, heap in enumerate(agenda):
                 if not heap:
                     continue
@@ -360,7 +370,7 @@ class Lattice:
                         break
                     e += 1
                 run = list(accumulate(p))
-                u = float(uniform(stream[d:d + 1], np.array([1 << 40]))[0]) * run[-1]
+                u = float(picks[d]) * run[-1]
                 pick = a + next(x for x, c in enumerate(run) if c > u)
                 others = sum(q for x, q in enumerate(p) if a + x != pick)
                 kept = (np.append(edges[:j], pick), of[:j + 1], np.append(lps[:j], self.lp.all[pick]))
@@ -402,10 +412,10 @@ class Lattice:
                 if not len(open_):
                     continue
                 mass = start[open_] + np.log(rest[open_])
-                e = -np.log(uniform(np.full(len(open_), mix(stream[d:d + 1] + np.uint64(7))[0]), open_ + j))
+                e = -np.log(uniform(splits[d:d + 1], open_ + j))
                 values = -np.logaddexp(-g, np.log(e) - mass)
                 want = min(len(values), k - turn)
-                for x in np.argpartition(-values, want - 1)[:want].tolist():
+                for x in np.argpartition(-values, want - 1)[:want].tolist() if want > 1 else [int(values.argmax())]:
                     at = int(open_[x])
                     ties += 1
                     heapq.heappush(agenda[d], (-float(values[x]), ties, (edges, of, lps), j + at, taken if at == 0 else frozenset({int(edges[j + at])}), float(start[at])))
