@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest, xxh64_intdigest
 
 from .common import HOT, attach, small_batches, stage
-from .graph import components
+from .graph import components, forest
 from .pieces import mix
 from .simhash import SEED, links_in
 
@@ -40,6 +40,8 @@ BITS, SKETCH_WORDS = 1024, 4
 SLACK, FEW = 4.5, 64
 #: Members of a block that are compared pair by pair, reference fingerprints of a block, and members of a part of a component of candidates.
 BLOCK, REFERENCES, PART = 1024, 8, 1024
+#: Blocks of so many members are done all at once, and rows that a worker takes at once.
+SMALL, ROWS = 32, 1 << 13
 STEPS = (np.arange(1, BITS // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None]
 
 
@@ -158,47 +160,68 @@ def verified(texts: DataFrame, nodes: DataFrame, roots: DataFrame, width: int) -
     return stage(met.repartition(n, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a long, b long"), "similar-links")
 
 
+def _small(key: np.ndarray, sk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of candidate pairs of small blocks, all blocks at once. The pivot table has the distances to a block's first and last members."""
+    first, last = np.searchsorted(key, key), np.searchsorted(key, key, side="right") - 1
+    tab = np.stack([np.bitwise_count(sk ^ sk[r]).sum(1, dtype=np.int64) for r in (first, last)], 1)
+    found, step, left = [], 1, np.flatnonzero(np.arange(len(key)) < last)
+    while len(left):  # each member with the next one, then with the second next, and so on
+        i = left[(np.abs(tab[left] - tab[left + step]) <= REACH).all(1)]
+        found.append(np.stack([i, i + step])[:, np.bitwise_count(sk[i] ^ sk[i + step]).sum(1, dtype=np.int64) <= REACH])
+        step += 1
+        left = left[left + step <= last[left]]
+    return tuple(np.concatenate([np.empty((2, 0), np.int64), *found], 1))
+
+
 def _members(batches: Iterator[pa.RecordBatch], block: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Rows key, node, sketch in order of key: links (a, b) of candidates. Members of a block of more than `block` are all linked to its first."""
+    """Rows key, node, sketch in order of key: links (a, b) of candidates, as forests. Members of a block of more than `block` are all linked to its first.
+
+    Holds ROWS rows and one block of at most `block`."""
     key, node, sk = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, SKETCH_WORDS), np.uint64)
-    large, head = None, 0
+    large, head, held, n = None, 0, [], 0
 
-    def finish(key: np.ndarray, node: np.ndarray, sk: np.ndarray, out: list) -> None:
+    def finish(key: np.ndarray, node: np.ndarray, sk: np.ndarray) -> pa.RecordBatch:
         nonlocal large, head
-        edge = np.flatnonzero(np.diff(key)) + 1
-        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
-            if e - s > block or key[s] == large:
+        start = np.flatnonzero(np.concatenate([[True], np.diff(key) != 0]))
+        size = np.diff(np.append(start, len(key)))
+        small = np.repeat((size <= min(SMALL, block)) & (key[start] != large), size)
+        i, j = _small(key[small], sk[small])
+        out = [(node[small][i], node[small][j])]
+        for s, m in zip(start.tolist(), size.tolist(), strict=True):
+            e = s + m
+            if m > block or key[s] == large:
                 if key[s] != large:
                     large, head = int(key[s]), int(node[s])
-                out.append((node[s:e], np.full(e - s, head)))
-            elif e - s > 1:
-                refs = sk[np.linspace(s, e - 1, min(REFERENCES, e - s)).astype(int)]
+                out.append((node[s:e], np.full(m, head)))
+            elif m > SMALL:
+                refs = sk[np.linspace(s, e - 1, min(REFERENCES, m)).astype(int)]
                 tab = np.stack([np.bitwise_count(sk[s:e] ^ r).sum(1, dtype=np.int64) for r in refs], 1)
                 a, b = _links(sk[s:e], tab)
                 out.append((node[s:e][a], node[s:e][b]))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*(np.concatenate(c) for c in zip(*out, strict=True)))], ["a", "b"])
 
-    def send(out: list) -> pa.RecordBatch:
-        cols = [np.concatenate([np.empty(0, np.int64), *c]) for c in (zip(*out, strict=True) if out else ([], []))]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b"])
+    def gather() -> None:
+        nonlocal key, node, sk, held, n
+        key, node, sk = (np.concatenate(c) for c in zip(*[(key, node, sk), *held], strict=True))
+        held, n = [], 0
 
     for batch in batches:
-        if not batch.num_rows:
+        keys, nodes, sketches = batch.columns
+        held.append((keys.to_numpy(zero_copy_only=False), nodes.to_numpy(zero_copy_only=False), np.frombuffer(b"".join(sketches.to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)))
+        n += batch.num_rows
+        if n < ROWS:
             continue
-        key = np.concatenate([key, batch.column(0).to_numpy(zero_copy_only=False)])
-        node = np.concatenate([node, batch.column(1).to_numpy(zero_copy_only=False)])
-        sk = np.concatenate([sk, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, SKETCH_WORDS)])
-        out: list = []
+        gather()
         tail = int(np.searchsorted(key, key[-1]))
         if len(key) - tail > block or key[-1] == large:
             tail = len(key)
         if tail:
-            finish(key[:tail], node[:tail], sk[:tail], out)
+            yield finish(key[:tail], node[:tail], sk[:tail])
             key, node, sk = key[tail:], node[tail:], sk[tail:]
-        yield send(out)
+    if held:
+        gather()
     if len(key):
-        out = []
-        finish(key, node, sk, out)
-        yield send(out)
+        yield finish(key, node, sk)
 
 
 def _links(sk: np.ndarray, tab: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
