@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -297,6 +298,33 @@ def test_components_of_long_chains(spark):
     assert graph.components(edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(("rows", "small"), [(1 << 13, 32), (16, 32), (16, 2)])
+def test_blocks_match_brute_force(monkeypatch, rows, small):
+    """Near pairs of each block and no others, whatever a worker takes at once and whichever way a block goes."""
+    monkeypatch.setattr(similar, "ROWS", rows)
+    monkeypatch.setattr(similar, "SMALL", small)
+    rng = np.random.default_rng(4)
+    sketches, keys, pairs = [], [], []
+    for key in range(60):
+        start, n = len(keys), int(rng.integers(1, 12))
+        base = rng.integers(0, 1 << 63, similar.SKETCH_WORDS, dtype=np.uint64)
+        for _ in range(n):
+            bits = np.zeros(64 * similar.SKETCH_WORDS, np.uint8)
+            bits[rng.permutation(len(bits))[:int(rng.integers(0, 50))]] = 1
+            sketches.append(base ^ np.packbits(bits, bitorder="little").view(np.uint64))
+            keys.append(key)
+        pairs += [(i, j) for i in range(start, len(keys)) for j in range(start, i) if sum(int(x).bit_count() for x in sketches[i] ^ sketches[j]) <= similar.REACH]
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[k:k + 7], pa.int64()), pa.array(range(k, min(k + 7, len(keys))), pa.int64()), pa.array([x.tobytes() for x in sketches[k:k + 7]], pa.binary())], ["key", "node", "sketch"]) for k in range(0, len(keys), 7)]
+    links = [(a, b) for x in similar._members(iter(batches)) for a, b in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+    got, want = (dict(zip(*(c.tolist() for c in graph.forest(*np.array(x).T)), strict=True)) for x in (links, pairs))
+    root = {k: k for k in range(len(keys))}
+    while any(root[i] != root[j] for i, j in pairs):
+        for i, j in pairs:
+            root[i] = root[j] = min(root[i], root[j])
+    assert got == want == {k: r for k, r in root.items() if k != r}
+    assert 0 < len(pairs) < sum(keys.count(k) * (keys.count(k) - 1) // 2 for k in range(60))
+
+
 def slow_ends(data):
     h = [sum(int(cdc.GEAR[data[k - j]]) << j for j in range(min(cdc.WINDOW, k + 1))) & 0xFFFFFFFF for k in range(len(data))]
     least = lambda x: min(x, default=2**32 - 1)
