@@ -76,6 +76,13 @@ def seeded(r: Column, c: Column, rows: int, cols: int) -> Column:
     return (F.abs(r - rows // 2) <= 1) & (F.abs(c - cols // 2) <= 1)
 
 
+def reachable(r: Column, c: Column, rows: Column | int, cols: int, steps: int) -> Column:
+    """Whether fire from the block in the middle can have come to a cell within so many steps, in any scenario: heat goes
+    one cell a step, so whatever lies further away is unburned, and heats nothing."""
+    rows = F.lit(rows) if isinstance(rows, int) else rows
+    return (F.abs(r - F.floor(rows / 2)) <= 1 + steps) & (F.abs(c - cols // 2) <= 1 + steps)
+
+
 def _solved(rows: pd.DataFrame, steps: int, burn_steps: int) -> np.ndarray:
     """Arrival of each row of one scenario."""
     r, c = (rows["r"] - rows["r"].min()).to_numpy(), (rows["c"] - rows["c"].min()).to_numpy()

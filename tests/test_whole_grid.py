@@ -34,6 +34,30 @@ def test_scores_of_tiles(spark, monkeypatch):
     assert {tuple(x) for x in catalog.QUERIES["twin_recovery"](spark, SF).collect()} == want
 
 
+def test_scores_on_reachable_cells_are_those_of_the_whole_grid(spark, monkeypatch):
+    """A grid of more than ONE_TASK cells is scored in one task a scenario where fire can't come to so many, with the whole grid's scores."""
+    grid, steps = SF.replace("0.001", "0.01"), 15
+    whole = survey.ground(spark, grid).join(survey.arrival(spark, grid, survey.truth_params(spark), steps).selectExpr("r", "c", "ignite_step IS NOT NULL AS seen"), ["r", "c"])
+    want = spread.overlaps(survey.ros(spark, grid, survey.params(spark, grid), whole), survey.size(spark, grid), steps)
+    want = {x["sim_id"]: x["i"] / x["u"] for x in want.collect()}
+    monkeypatch.setattr(survey, "STEPS", steps)
+    monkeypatch.setattr(spread, "ONE_TASK", 1500)
+    monkeypatch.setattr(spread, "arrivals_tiled", None)
+    base = survey.observed(spark, grid)
+    assert base.count() == (2 * (steps + 1) + 1) ** 2 < 1500 < survey.size(spark, grid)
+    assert {tuple(x) for x in survey.scored(spark, grid, None, base).collect()} == set(want.items())
+    assert len(set(want.values())) > 5
+
+
+def test_scores_without_a_middle(spark, tmp_path):
+    for name, kept in (("part", "p_partkey < 40 OR p_partkey >= 39960"), ("nation", "true")):
+        rows = spark.read.parquet(f"{SF}/{name}.parquet")
+        if name == "part":
+            rows = rows.unionByName(rows.selectExpr("p_partkey + 39800 AS p_partkey", *rows.columns[1:]))
+        rows.where(kept).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert {tuple(x) for x in catalog.QUERIES["twin_recovery"](spark, str(tmp_path)).collect()} == {(-1, 0.0), (-2, 0.0)}
+
+
 def test_forward_run_reaches_the_end(spark):
     found, last = survey.forward(spark, SF)
     rows = found.select("sim_id", "r", "c", "ignite_step").collect()
